@@ -51,20 +51,20 @@ def best_pattern(width: np.ndarray, value: np.ndarray, capacity: int) -> tuple[f
     return float(best[capacity]), out
 
 
-def relaxed(width: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-4, most: int = 6000) -> tuple[np.ndarray, np.ndarray]:
+def relaxed(width: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-3, most: int = 4000) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (columns) and their fractional counts, with patterns @ counts = demand.
 
-    Revised simplex; ends when no pattern prices out, within ``gap`` of the bound that the
-    duals prove, or after ``most`` pivots (any state is a valid packing).
+    Revised simplex; ends when no pattern prices out, within ``gap`` of a lower bound (the total
+    width, or what the duals prove), or after ``most`` pivots (any state is a valid packing).
     """
     m = len(width)
     basis = np.diag(capacity // width)
     inverse = np.diag(1.0 / (capacity // width))
-    counts = inverse @ demand
+    counts, least = inverse @ demand, demand @ width / capacity
     for turn in range(most):
         dual = inverse.sum(axis=0)
         price, column = best_pattern(width, np.maximum(dual, 0), capacity)
-        if price <= 1 + 1e-9 or counts.sum() <= (demand @ np.maximum(dual, 0)) / price * (1 + gap):
+        if price <= 1 + 1e-9 or counts.sum() <= max(least, (demand @ np.maximum(dual, 0)) / price) * (1 + gap):
             break
         move = inverse @ column
         usable = move > 1e-10
