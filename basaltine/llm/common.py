@@ -120,30 +120,50 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of rows of bytes: 64-bit hashes, first and end byte (in data), and for each row its first word (n + 1)."""
-    n = len(data)
-    if n == 0:
-        e = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), e, e, np.zeros(len(offsets), np.int64)
+def _segment(data: np.ndarray, edges: np.ndarray, lut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     value = lut[data]
     inside = value != 0
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
-    edges = offsets[:-1][(offsets[1:] > offsets[:-1])]
     first[edges] = inside[edges]
     before = edges[edges > 0] - 1
     last[before] = inside[before]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _power(n)
-    value *= up[:n]
+    up, down = _power(len(data))
+    value *= up[: len(data)]
     np.cumsum(value, out=value)
     h = value[ends - 1]
     later = starts > 0
     h[later] -= value[starts[later] - 1]
     h *= down[starts]
-    return mix(h), starts, ends, np.searchsorted(starts, offsets).astype(np.int64)
+    return mix(h), starts, ends
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lut: np.ndarray, step: int = 4 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of rows of bytes: 64-bit hashes, first and end byte (in data), and for each row its first word (n + 1).
+
+    Works in segments of about ``step`` bytes that end between words.
+    """
+    parts, at, n = [], 0, len(data)
+    edges = offsets[:-1][offsets[1:] > offsets[:-1]]
+    while at < n:
+        to = min(n, at + step)
+        if to < n:
+            gaps = np.flatnonzero(lut[data[at:to]] == 0)
+            while not len(gaps) and to < n:  # one word longer than a segment
+                to = min(n, to + step)
+                gaps = np.flatnonzero(lut[data[at:to]] == 0)
+            if to < n:
+                to = at + int(gaps[-1]) + 1
+        h, a, b = _segment(data[at:to], edges[np.searchsorted(edges, at) : np.searchsorted(edges, to)] - at, lut)
+        parts.append((h, a + at, b + at))
+        at = to
+    if not parts:
+        e = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), e, e, np.zeros(len(offsets), np.int64)
+    h, starts, ends = parts[0] if len(parts) == 1 else (np.concatenate(x) for x in zip(*parts, strict=True))
+    return h, starts, ends, np.searchsorted(starts, offsets).astype(np.int64)
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

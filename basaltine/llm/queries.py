@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dup, packing, tokens, warc
+from . import decontamination, near_dup, packing, tokens, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_warc": warc.op2_warc,
+        "op3_fm_decontamination": decontamination.op3_fm_decontamination,
         "op5_minmax_near_dup": near_dup.op5_minmax_near_dup,
         "op8_packing": packing.op8_packing,
         "op9_token_files": tokens.op9_token_files,
