@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, near_dup, packing, tokens, warc
+from . import ann, decontamination, langid, near_dup, packing, tokens, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_warc": warc.op2_warc,
         "op3_fm_decontamination": decontamination.op3_fm_decontamination,
+        "op4_word_backoff_langid": langid.op4_word_backoff_langid,
         "op5_minmax_near_dup": near_dup.op5_minmax_near_dup,
         "op8_packing": packing.op8_packing,
         "op9_token_files": tokens.op9_token_files,
+        "op10_additive_ann": ann.op10_additive_ann,
     }
 
 
