@@ -126,7 +126,7 @@ def build(vectors: DataFrame, books: int = 8, beam: int = 8) -> tuple[DataFrame,
     return written(index), fitted.value, dim
 
 
-def search(index: DataFrame, quantiser: Quantiser | None, dim: int, queries: DataFrame, k: int = 10, rerank: int = 96) -> DataFrame:
+def search(index: DataFrame, quantiser: Quantiser | None, dim: int, queries: DataFrame, k: int = 10, rerank: int = 192) -> DataFrame:
     """(vec_id, embedding) queries to (query_id, rank, vec_id, score): the k nearest found.
 
     Of every CHUNK rows of the index, each query's best ``rerank`` by lookup tables are measured exactly.
