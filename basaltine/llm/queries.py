@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontamination, langid, near_dup, packing, tokens, warc
+from . import ann, decontamination, langid, near_dup, packing, pii, tokens, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_fm_decontamination": decontamination.op3_fm_decontamination,
         "op4_word_backoff_langid": langid.op4_word_backoff_langid,
         "op5_minmax_near_dup": near_dup.op5_minmax_near_dup,
+        "op7_skip_chain_pii": pii.op7_skip_chain_pii,
         "op8_packing": packing.op8_packing,
         "op9_token_files": tokens.op9_token_files,
         "op10_additive_ann": ann.op10_additive_ann,
