@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ALNUM, blocks, map_arrow, ragged, utf8, words
 from .fm_index import FMIndex
@@ -94,9 +95,9 @@ class Phrases:
         return np.cumsum(hit[:n]) > 0, docs, self.items[ragged(self.first_item[pair[:, 1]], n_items)]
 
 
-def _pass(documents: DataFrame, phrases: Phrases, keep_text: bool) -> DataFrame:
+def _pass(documents: DataFrame, phrases: Phrases, keep: bool) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(phrases)
-    names = ["row", "doc_id", "n_words", "spans", "bytes", "items"] + ["text"] * keep_text
+    names = ["row", "doc_id", "n_words", "spans", "bytes", "items"] + ["text", "rest"] * keep
 
     def scan(batches):
         phrases = shared.value
@@ -123,7 +124,7 @@ def _pass(documents: DataFrame, phrases: Phrases, keep_text: bool) -> DataFrame:
             listed = pa.ListArray.from_arrays(pa.array(np.searchsorted(at[:, 0], np.arange(len(sizes) + 1)).astype(np.int32)), pa.array(at[:, 1]))
             joined = pa.Table.from_batches(rows).combine_chunks().to_batches()[0] if len(rows) > 1 else rows[0]
             cols = [joined.column(0), joined.column(1), pa.array(sizes), spans(a - base, b - base), spans(starts[a], ends[b - 1]), listed]
-            return pa.record_batch(cols + [joined.column(2)] * keep_text, names)
+            return pa.record_batch(cols + [joined.column(2), joined.column(3)][: 2 * keep], names)
 
         rows, held, many = [], [], 0
         for batch in batches:
@@ -140,8 +141,9 @@ def _pass(documents: DataFrame, phrases: Phrases, keep_text: bool) -> DataFrame:
         if rows:
             yield out(rows, held)
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return map_arrow(documents, scan, f"row long, doc_id {kind}, n_words long, spans {_SPANS}, bytes {_SPANS}, items array<long>" + ", text string" * keep_text)
+    spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    schema = [T.StructField("row", T.LongType()), documents.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("spans", spans), T.StructField("bytes", spans), T.StructField("items", T.ArrayType(T.LongType()))]
+    return map_arrow(documents, scan, T.StructType(schema + [T.StructField("text", T.StringType()), documents.schema["rest"]] * keep))
 
 
 def _merge(column: str) -> F.Column:
@@ -150,51 +152,60 @@ def _merge(column: str) -> F.Column:
     return F.expr(f"aggregate(array_sort(flatten(collect_list({column}))), cast(array() as {_SPANS}), (a, x) -> {step})")
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10, keep_text: bool = False) -> DataFrame:
-    """(doc_id, text) and (item_id, text) to (row, doc_id, n_words, spans, bytes, items[, text]).
+def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """(doc_id, text) and (item_id, text) to (row, doc_id, n_words, spans, bytes, items[, text, kept columns]).
 
     spans are merged hit words [start, end) of the document, bytes the same in UTF-8 bytes of its
-    text; items are the ids of all items with an occurring window.
+    text; items are the ids of all items with an occurring window. ``keep``: further columns, and the text.
     """
-    documents = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    rest = F.struct(*(keep or ()), F.lit(0).alias("__none")).alias("rest")
+    documents = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", rest)
     benchmark = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // BLOCK))
     found = []
     for k in range(parts):
         block = benchmark if parts == 1 else benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k)
-        found.append(_pass(documents, Phrases([tuple(r) for r in block.collect()], window), keep_text and k == 0))
-    if parts == 1:
-        return found[0]
-    union = found[0]
-    for x in found[1:]:
-        union = union.unionByName(x, allowMissingColumns=True)
-    text = [F.max("text").alias("text")] * keep_text
-    return union.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), _merge("spans").alias("spans"), _merge("bytes").alias("bytes"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), *text)
+        found.append(_pass(documents, Phrases([tuple(r) for r in block.collect()], window), keep is not None and k == 0))
+    out = found[0]
+    if parts > 1:
+        for x in found[1:]:
+            out = out.unionByName(x, allowMissingColumns=True)
+        more = [F.first(c, ignorenulls=True).alias(c) for c in ("text", "rest")] if keep is not None else []
+        out = out.groupBy("row").agg(F.first("doc_id", ignorenulls=True).alias("doc_id"), F.max("n_words").alias("n_words"), _merge("spans").alias("spans"), _merge("bytes").alias("bytes"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), *more)
+    return out if keep is None else out.select("row", "doc_id", "n_words", "spans", "bytes", "items", "text", *(F.col("rest")[c].alias(c) for c in keep))
+
+
+def n_hit() -> F.Column:
+    return F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
 
 
 def cut(found: DataFrame) -> DataFrame:
-    """(doc_id, text) of ``contamination(keep_text=True)`` with all removal spans taken out of the texts."""
+    """The rows of ``contamination(keep=...)`` with all removal spans taken out of their texts."""
+    text, spans = found.columns.index("text"), found.columns.index("bytes")
 
     def clean(batches):
         for batch in batches:
             texts = []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if spans:
-                    raw, at, kept = text.encode(), 0, []
-                    for s in spans:
+            for whole, cuts in zip(batch.column(text), batch.column(spans).to_pylist(), strict=True):
+                whole = whole.as_py()
+                if cuts:
+                    raw, at, kept = whole.encode(), 0, []
+                    for s in cuts:
                         kept.append(raw[at : s["start"]])
                         at = s["end"]
-                    text = b"".join([*kept, raw[at:]]).decode()
-                texts.append(text)
-            yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
+                    whole = b"".join([*kept, raw[at:]]).decode()
+                texts.append(whole)
+            cols = list(batch.columns)
+            cols[text] = pa.array(texts, pa.string())
+            yield pa.record_batch(cols, batch.schema.names)
 
-    return map_arrow(found.select("row", "text", "bytes"), clean, "row long, text string")
+    return map_arrow(found, clean, found.schema)
 
 
 def op3_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items."""
     rows = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    hit = n_hit()
     listed = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     return rows.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), (hit > 0).alias("contaminated"))

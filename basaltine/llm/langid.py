@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import LETTERS, blocks, map_arrow, mix, ragged, seeds, utf8, words, written
 
@@ -205,8 +206,8 @@ def identify(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_i
                 names, score = model.predict(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 yield pa.record_batch([*(c[a:b] for c in batch.columns[: len(keep)]), pa.array(names), pa.array(score)], [*keep, "lang_pred", "score"])
 
-    kinds = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
-    return map_arrow(documents.select(*keep, F.col(text).alias("__text")), run, f"{kinds}, lang_pred string, score double")
+    schema = T.StructType([documents.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return map_arrow(documents.select(*keep, F.col(text).alias("__text")), run, schema)
 
 
 def held_out() -> F.Column:

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import SPACED, blocks, map_arrow, mix, seeds, utf8, words, written
 from .graph import components
@@ -92,10 +93,11 @@ def signatures(sets: np.ndarray, at: np.ndarray, settings: Settings) -> np.ndarr
     return out
 
 
-def _signed(documents: DataFrame, settings: Settings) -> DataFrame:
-    """Row number, doc_id, set size, digest of the set, band keys, short signature and text of each document."""
+def _signed(documents: DataFrame, settings: Settings, keep: tuple[str, ...]) -> DataFrame:
+    """Row number, doc_id, set size, digest of the set, band keys, short signature, text and kept columns of each document."""
     k = seeds(settings.rows, 17)
-    names = ["row", "doc_id", "n", "digest", "bands", "sketch", "text"]
+    names = ["row", "doc_id", "n", "digest", "bands", "sketch", "text", "rest"]
+    documents = documents.select("doc_id", "text", F.struct(*keep, F.lit(0).alias("__none")).alias("rest"))
 
     def sign(batches):
         part, row = TaskContext.get().partitionId() << 40, 0
@@ -119,10 +121,10 @@ def _signed(documents: DataFrame, settings: Settings) -> DataFrame:
                         digest[i], bands[i], sketch[i] = sums[j].tobytes(), keys[j], short[j].tobytes()
                 rows = part + row + np.arange(b - a)
                 row += b - a
-                yield pa.record_batch([pa.array(rows), batch.column(0)[a:b], pa.array(n), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary()), batch.column(1)[a:b]], names)
+                yield pa.record_batch([pa.array(rows), batch.column(0)[a:b], pa.array(n), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary()), batch.column(1)[a:b], batch.column(2)[a:b]], names)
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return written(map_arrow(documents.select("doc_id", "text"), sign, f"row long, doc_id {kind}, n long, digest binary, bands array<long>, sketch binary, text string"), compression="zstd")
+    schema = T.StructType([T.StructField("row", T.LongType()), documents.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType()), T.StructField("text", T.StringType()), documents.schema["rest"]])
+    return written(map_arrow(documents, sign, schema), compression="zstd")
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, settings: Settings) -> DataFrame:
@@ -168,13 +170,14 @@ def _confirmed(pairs: DataFrame, signed: DataFrame, settings: Settings) -> DataF
     return map_arrow(both.select("a", "b", "x", "y"), linked, "a long, b long")
 
 
-def near_duplicates(documents: DataFrame, settings: Settings = Settings(), rounds: int = 3) -> DataFrame:
-    """(doc_id, text) to (row, doc_id, n_shingles, component_id, text): a row for each document.
+def near_duplicates(documents: DataFrame, settings: Settings = Settings(), rounds: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text) to (doc_id, n_shingles, component_id, first[, text and kept columns]): a row for each document.
 
-    component_id is the smallest doc_id reachable over links; ``row`` tells repeated doc_ids apart.
+    component_id is the smallest doc_id reachable over links. ``first`` is true for one row of each
+    component, also where doc_ids repeat, and for rows with an empty set.
     """
-    signed = _signed(documents, settings)
-    classes = written(signed.where("n > 0").groupBy("digest").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least")))
+    signed = _signed(documents, settings, keep)
+    classes = written(signed.where("n > 0").groupBy("digest").agg(F.min("row").alias("rep"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")))
     reps = signed.join(classes.select(F.col("rep").alias("row")), "row", "left_semi").select("row", "n", "sketch", "bands")
     reps = written(reps, compression="none")
 
@@ -198,7 +201,7 @@ def near_duplicates(documents: DataFrame, settings: Settings = Settings(), round
             left, most = open_.agg(F.sum("pairs"), F.sum("all")).first()
             if not left:
                 break
-            if turn + 1 == rounds or left <= 4 * most:
+            if turn + 1 >= rounds or left <= 4 * most:  # all that is left, in the last turn however much
                 other = now.select("key", F.col("row").alias("a"), F.col("comp").alias("ca"))
                 pairs = other.join(now.select("key", F.col("row").alias("b"), F.col("comp").alias("cb")), "key").where("a < b and ca <> cb")
                 turn = rounds
@@ -218,11 +221,12 @@ def near_duplicates(documents: DataFrame, settings: Settings = Settings(), round
         if turn == rounds:
             break
 
-    rows = signed.select("row", "doc_id", "n", "digest", "text").join(classes, "digest", "left")
     named = classes.select(F.col("rep").alias("node"), "least").join(labels, "node")
-    named = named.join(named.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select(F.col("node").alias("rep"), "component_id")
-    rows = rows.join(named, "rep", "left")
-    return rows.select("row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "least", "doc_id").alias("component_id"), "text")
+    named = named.join(named.groupBy("comp").agg(F.min("least").alias("lowest")), "comp").select(F.col("node").alias("rep"), "lowest")
+    named = classes.join(named, "rep", "left").select("digest", F.coalesce("lowest", "least").alias("lowest"))
+    more = [F.col("text")] + [F.col("rest")[c].alias(c) for c in keep] if keep else []
+    rows = signed.select("row", "doc_id", "n", "digest", *(("text", "rest") if keep else ())).join(named, "digest", "left")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("lowest.doc_id", "doc_id").alias("component_id"), F.coalesce(F.col("lowest.row") == F.col("row"), F.lit(True)).alias("first"), *more)
 
 
 def op5_minmax_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from . import ann, decontamination, langid, near_dup, packing, pii, tokens, warc
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_warc": warc.op2_warc,
@@ -19,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": packing.op8_packing,
         "op9_token_files": tokens.op9_token_files,
         "op10_additive_ann": ann.op10_additive_ann,
+        "pipeline": pipeline,
     }
 
 
