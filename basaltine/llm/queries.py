@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontamination, langid, near_dup, packing, pii, tokens, warc
+from . import ann, decontamination, langid, near_dup, packing, pii, tokens, toxicity, warc
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_classifier_chain": toxicity.op1_classifier_chain,
         "op2_warc": warc.op2_warc,
         "op3_fm_decontamination": decontamination.op3_fm_decontamination,
         "op4_word_backoff_langid": langid.op4_word_backoff_langid,
