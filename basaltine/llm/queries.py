@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontamination, langid, near_dup, packing, pii, tokens, toxicity, warc
+from . import ann, decontamination, langid, licenses, near_dup, packing, pii, tokens, toxicity, warc
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_fm_decontamination": decontamination.op3_fm_decontamination,
         "op4_word_backoff_langid": langid.op4_word_backoff_langid,
         "op5_minmax_near_dup": near_dup.op5_minmax_near_dup,
+        "op6_license_scan": licenses.op6_license_scan,
         "op7_skip_chain_pii": pii.op7_skip_chain_pii,
         "op8_packing": packing.op8_packing,
         "op9_token_files": tokens.op9_token_files,
