@@ -1,15 +1,49 @@
-"""Named queries with an equivalent SQL text each."""
+"""Named queries, each with an equivalent SQL text for an independent engine."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@dataclass(frozen=True)
+class Query:
+    run: Callable[[SparkSession, str], DataFrame]
+    oracle: str | None
+
+
+def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
+    return [spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names]
+
+
+def sql(text: str, oracle: str | None = None) -> Query:
+    """A query in Spark SQL over the tables it names; ``oracle`` where the other engine spells it differently."""
+    used = [t for t in TABLES if t in text]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        for name in used:
+            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+        return spark.sql(text)
+
+    return Query(run, oracle or text)
+
+
+def _all() -> dict[str, Query]:
+    from . import aggregates, bench_shapes, filters, joins, scalars, sets_windows, table_ops
+
+    out: dict[str, Query] = {}
+    for module in (bench_shapes, aggregates, filters, joins, sets_windows, scalars, table_ops):
+        out |= module.QUERIES
+    return out
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: q.run for name, q in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: q.oracle for name, q in _all().items() if q.oracle}
