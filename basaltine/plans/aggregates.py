@@ -49,7 +49,7 @@ QUERIES = {
     "agg_minmax_int": sql("SELECT min(CAST(l_linenumber AS SMALLINT)) AS lo2, max(CAST(l_linenumber AS SMALLINT)) AS hi2, min(l_linenumber) AS lo4, max(l_linenumber) AS hi4, min(l_orderkey) AS lo8, max(l_orderkey) AS hi8 FROM lineitem"),
     "agg_minmax_double": sql("SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem"),
     "agg_minmax_decimal": sql("SELECT min(CAST(l_tax AS DECIMAL(12,4))) AS lo, max(CAST(l_tax AS DECIMAL(12,4))) AS hi FROM lineitem"),
-    "agg_minmax_date": sql("SELECT min(CAST(o_orderdate AS DATE)) AS lo, max(CAST(o_orderdate AS DATE)) AS hi FROM orders"),
+    "agg_minmax_date": sql("SELECT CAST(min(CAST(o_orderdate AS DATE)) AS STRING) AS lo, CAST(max(CAST(o_orderdate AS DATE)) AS STRING) AS hi FROM orders"),
     "agg_minmax_text": sql("SELECT min(o_orderpriority) AS lo, max(o_orderpriority) AS hi FROM orders"),
     "agg_empty_null": sql("SELECT count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS s, avg(l_tax) AS a, min(l_tax) AS lo, max(l_tax) AS hi FROM lineitem WHERE l_orderkey < 0"),
     "agg_all_null": sql("SELECT count(*) AS n, count(v) AS nv, CAST(sum(v) AS BIGINT) AS s, min(v) AS lo, max(v) AS hi FROM (SELECT CASE WHEN l_orderkey < 0 THEN l_linenumber END AS v FROM lineitem) t"),

@@ -36,7 +36,7 @@ QUERIES = {
         "SELECT l_shipmode_like AS grp, count(*) AS n, sum(CAST(l_extendedprice AS DECIMAL(15,4))) AS sum_amount, round(avg(l_quantity), 6) AS avg_qty, percentile_disc(0.95) WITHIN GROUP (ORDER BY l_quantity) AS p95 FROM (SELECT concat(l_returnflag, l_linestatus) AS l_shipmode_like, l_extendedprice, l_quantity FROM lineitem) t GROUP BY l_shipmode_like ORDER BY sum_amount DESC NULLS LAST"
     ),
     "q05_date_range": sql(
-        "SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS n, sum(CAST(o_totalprice AS DECIMAL(15,4))) AS total, round(avg(o_totalprice), 4) AS avg_price FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1995-01-01 00:00:00' AND TIMESTAMP '1995-01-31 23:59:59' GROUP BY CAST(o_orderdate AS DATE) ORDER BY d"
+        "SELECT CAST(CAST(o_orderdate AS DATE) AS STRING) AS d, count(*) AS n, sum(CAST(o_totalprice AS DECIMAL(15,4))) AS total, round(avg(o_totalprice), 4) AS avg_price FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1995-01-01 00:00:00' AND TIMESTAMP '1995-01-31 23:59:59' GROUP BY CAST(o_orderdate AS DATE) ORDER BY d"
     ),
     "q06_json_contains": Query(_json_contains, "SELECT count(*) AS n, round(avg(value), 6) AS avg_value FROM events WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) = 87"),
     "q07_json_key_group": Query(_json_key, "SELECT json_extract_string(props, '$.k') AS k, count(*) AS n, sum(CAST(value AS DECIMAL(18,6))) AS sum_value FROM events WHERE list_contains(json_keys(props), 'k') GROUP BY 1"),

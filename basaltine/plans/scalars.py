@@ -22,7 +22,7 @@ QUERIES = {
     ),
     "fn_string": sql("SELECT n_nationkey, concat(n_name, '-', CAST(n_nationkey AS STRING)) AS c, md5(n_name) AS m, CAST(length(n_name) AS BIGINT) AS l, repeat('ab', 2) AS r, upper(substr(n_name, 1, 2)) AS u FROM nation", "SELECT n_nationkey, concat(n_name, '-', CAST(n_nationkey AS VARCHAR)) AS c, md5(n_name) AS m, length(n_name) AS l, repeat('ab', 2) AS r, upper(substr(n_name, 1, 2)) AS u FROM nation"),
     "fn_math": sql("SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS f, CAST(ceil(o_totalprice) AS BIGINT) AS c, o_orderkey % 7 AS m, least(o_custkey, o_orderkey) AS lo, greatest(o_custkey, NULL, 5) AS hi, abs(-o_custkey) AS a FROM orders"),
-    "fn_date": sql("SELECT o_orderkey, CAST(o_orderdate AS DATE) + INTERVAL 3 DAY AS plus3, year(o_orderdate) AS y, month(o_orderdate) AS m FROM orders", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + INTERVAL 3 DAY AS DATE) AS plus3, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m FROM orders"),
+    "fn_date": sql("SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + INTERVAL 3 DAY AS STRING) AS plus3, year(o_orderdate) AS y, month(o_orderdate) AS m FROM orders", "SELECT o_orderkey, CAST(CAST(CAST(o_orderdate AS DATE) + INTERVAL 3 DAY AS DATE) AS VARCHAR) AS plus3, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m FROM orders"),
     "fn_date_trunc": sql("SELECT date_trunc('MONTH', o_orderdate) AS m, count(*) AS n FROM orders GROUP BY 1", "SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS m, count(*) AS n FROM orders GROUP BY 1"),
     "fn_json": sql("SELECT event_id, get_json_object(props, '$.k') AS k FROM events", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events"),
     "fn_array": sql("SELECT vec_id, element_at(embedding, 1) AS first_value, CAST(size(embedding) AS BIGINT) AS n FROM embeddings", "SELECT vec_id, embedding[1] AS first_value, CAST(len(embedding) AS BIGINT) AS n FROM embeddings"),
