@@ -5,15 +5,15 @@ gives two signature values, its minimum and its maximum, so a signature takes ha
 evaluations as values. Bands of signature values bring candidates together; candidates are
 confirmed on full sets, links joined to components.
 
-Documents with equal sets are one class from the start. Within a band's bucket no pairs are
-listed as such: every member is compared with the bucket's most central member, which for a
-group of near copies links nearly all of it at once. Only members of one bucket that are still in
-different components are then compared with each other, after a check of set sizes and of whole
-signatures; that keeps every link between candidates, however large a bucket is.
+Documents with equal sets are one class from the start. Pairs are never listed. Within a band's
+bucket, tasks compare short signatures and return only a spanning forest of the likely pairs; a
+bucket beyond ``LARGE`` members is taken as connected. The components of those forests are
+families. Each family's sets meet once, in blocks of bounded size where it is large, every pair of
+its sets is measured exactly, and again only a spanning forest of the links is returned.
 
 Edge cases: null, empty or blank texts have an empty set and no links; texts with fewer words than
 a shingle are one shingle; repeated rows are copies; an empty table gives no rows; further
-columns are ignored.
+columns are ignored, or kept on demand.
 """
 
 from __future__ import annotations
@@ -27,25 +27,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACED, blocks, map_arrow, mix, seeds, utf8, words, written
+from .common import SPACED, blocks, map_arrow, mix, partitions, seeds, utf8, words, written
 from .graph import components
 
 
+#: Members of a bucket, and documents and shingles of a block of a family, that meet in one task at most.
+LARGE, DOCS, SHINGLES = 2048, 1000, 1_000_000
+
+
 @dataclass(frozen=True)
 class Settings:
     """Links are pairs with 100 * intersection >= percent * union.
 
     bands of rows values, from bands * rows / 2 permutations: a pair at similarity s is missed with
-    probability (1 - s ** rows) ** bands, 6e-11 at 0.85 and 5e-8 at 0.8. Pairs whose whole
-    signatures agree in less than percent / 100 - slack of all values aren't confirmed: at
-    0.85 and 128 values, more than six standard deviations.
+    probability (1 - s ** rows) ** bands, 1e-10 at 0.85 and 5e-7 at 0.8. Pairs of a bucket that agree
+    in less than percent / 100 - slack of the first ``values`` values aren't likely: at 0.85 and
+    128 values, six standard deviations.
     """
 
     percent: int = 85
     shingle: int = 5
-    bands: int = 32
-    rows: int = 4
-    slack: float = 0.22
+    bands: int = 48
+    rows: int = 6
+    values: int = 128
+    slack: float = 0.19
 
     @property
     def permutations(self) -> int:
@@ -116,7 +121,7 @@ def _signed(documents: DataFrame, settings: Settings, keep: tuple[str, ...]) ->
                     for j in range(settings.rows):
                         keys += sig[:, j :: settings.rows] * k[j]
                     keys = mix(keys + np.arange(settings.bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-                    short = (mix(sig) >> np.uint64(48)).astype("<u2")
+                    short = (mix(sig[:, : settings.values]) >> np.uint64(48)).astype("<u2")
                     for j, i in enumerate(some.tolist()):
                         digest[i], bands[i], sketch[i] = sums[j].tobytes(), keys[j], short[j].tobytes()
                 rows = part + row + np.arange(b - a)
@@ -127,105 +132,161 @@ def _signed(documents: DataFrame, settings: Settings, keep: tuple[str, ...]) ->
     return written(map_arrow(documents, sign, schema), compression="zstd")
 
 
-def _likely(pairs: DataFrame, reps: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs (a, b) that set sizes and whole signatures allow."""
-    least = (settings.percent / 100 - settings.slack) * 2 * settings.permutations
-
-    def alike(batches):
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(batch.num_rows, -1) for c in batch.columns[2:])
-            good = pa.array((x == y).sum(1) >= least)
-            yield pa.record_batch(batch.columns[:2], ["a", "b"]).filter(good)
-
-    side = lambda x: reps.select(F.col("row").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").where(f"100 * least(na, nb) >= {settings.percent} * greatest(na, nb)")
-    return map_arrow(both.select("a", "b", "sa", "sb"), alike, "a long, b long")
-
-
-def _confirmed(pairs: DataFrame, signed: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs (a, b) that are links on their full sets, made anew from the texts."""
-
-    def sets(batches):
-        for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            for a, b in blocks(offsets):
-                s, at = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], settings.shingle)
-                yield pa.record_batch([batch.column(0)[a:b], pa.array([s[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], ["row", "items"])
+class _Forest:
+    """Union-find over small integers."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _runs(batches, process):
+    """Hand whole runs of equal first columns (sorted input) to ``process``, a table of several runs at a time."""
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(key, key[-1]))  # the last run may go on
+        if cut or (held and held[-1].column(0)[0].as_py() != key[0]):
+            held.append(batch.slice(0, cut))
+            yield from process(pa.Table.from_batches(held).combine_chunks())
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield from process(pa.Table.from_batches(held).combine_chunks())
+
+
+def _families(members: DataFrame, settings: Settings) -> DataFrame:
+    """(key, row, n, sketch) by key to edges (a, b): a spanning forest of each bucket's likely pairs."""
+    least = (settings.percent / 100 - settings.slack) * settings.values
+
+    def process(t):
+        if not t.num_rows:
+            return
+        key, row, n = (t.column(i).to_numpy() for i in range(3))
+        sketch = np.frombuffer(b"".join(t.column(3).to_pylist()), "<u2").reshape(len(key), -1)
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.concatenate([starts, [len(key)]]))
+        xs, ys = [], []
+
+        def test(x, y):
+            good = 100 * np.minimum(n[x], n[y]) >= settings.percent * np.maximum(n[x], n[y])
+            x, y = x[good], y[good]
+            good = (sketch[x] == sketch[y]).sum(1) >= least
+            xs.append(x[good])
+            ys.append(y[good])
+
+        for size in np.unique(sizes[(sizes > 1) & (sizes <= 16)]).tolist():
+            at = starts[sizes == size]
+            for i in range(size):
+                for j in range(i):
+                    test(at + j, at + i)
+        for at, size in zip(starts[sizes > 16].tolist(), sizes[sizes > 16].tolist(), strict=True):
+            for i in range(1, size):
+                test(np.arange(at, at + i), np.full(i, at + i))
+        forest = _Forest(len(key))
+        pairs = [(x, y) for x, y in zip(np.concatenate(xs).tolist(), np.concatenate(ys).tolist(), strict=True) if forest.join(x, y)] if xs else []
+        if pairs:
+            x, y = np.array(pairs).T
+            yield pa.record_batch([pa.array(row[x]), pa.array(row[y])], ["a", "b"])
+
+    return map_arrow(members.repartition(partitions(members.sparkSession), "key").sortWithinPartitions("key"), lambda batches: _runs(batches, process), "a long, b long")
+
+
+def _linked(groups: DataFrame, settings: Settings) -> DataFrame:
+    """(gid, side, row, text) by gid to links (a, b): a spanning forest of each group's exact links.
+
+    Side 0 is compared with itself; sides 1 and 2 with each other.
+    """
 
-    def linked(batches):
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                good.append(100 * common >= settings.percent * (len(x) + len(y) - common))
-            yield pa.record_batch(batch.columns[:2], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    taken = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
-    made = written(map_arrow(signed.select("row", "text").join(taken, "row", "left_semi"), sets, "row long, items binary"), compression="none")
-    both = pairs.join(made.select(F.col("row").alias("b"), F.col("items").alias("y")), "b").join(made.select(F.col("row").alias("a"), F.col("items").alias("x")), "a")
-    return map_arrow(both.select("a", "b", "x", "y"), linked, "a long, b long")
-
-
-def near_duplicates(documents: DataFrame, settings: Settings = Settings(), rounds: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    def process(t):
+        gid, side, row = (t.column(i).to_numpy() for i in range(3))
+        data, offsets = utf8(t.column(3).chunk(0) if isinstance(t.column(3), pa.ChunkedArray) else t.column(3))
+        sets, at = [], [0]
+        for a, b in blocks(offsets):
+            s, first = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], settings.shingle)
+            sets.append(s)
+            at += (first[1:] + at[-1]).tolist()
+        sets, at = np.concatenate(sets), np.array(at)
+        cuts = np.flatnonzero(np.concatenate([[True], gid[1:] != gid[:-1], [True]]))
+        out = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            ids = np.unique(sets[at[a] : at[b]], return_inverse=True)[1]
+            first, n = at[a:b] - at[a], np.diff(at[a : b + 1])
+            forest, flag = _Forest(b - a), np.zeros(int(ids.max(initial=0)) + 1, bool)
+            for i in range(1, b - a):  # with all before it, at once
+                low = 0 if side[a + i] == 0 else int(np.searchsorted(side[a:b], 1))
+                high = i if side[a + i] == 0 else int(np.searchsorted(side[a:b], 2)) if side[a + i] == 2 else 0
+                if high <= low:
+                    continue
+                mine = ids[first[i] : first[i] + n[i]]
+                flag[mine] = True
+                common = np.add.reduceat(flag[ids[first[low] : first[high - 1] + n[high - 1]]], first[low:high] - first[low], dtype=np.int64)
+                flag[mine] = False
+                for j in np.flatnonzero(100 * common >= settings.percent * (n[i] + n[low:high] - common)).tolist():
+                    if forest.join(low + j, i):
+                        out.append((row[a + low + j], row[a + i]))
+        if out:
+            x, y = np.array(out).T
+            yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    many = partitions(groups.sparkSession)
+    return map_arrow(groups.repartition(many, "gid").sortWithinPartitions("gid", "side", "row"), lambda batches: _runs(batches, process), "a long, b long")
+
+
+def _grouped(families: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(node, comp) and (row, n) to (row, gid, side): a group for a family, or for each pair of blocks of a large one."""
+    rows = families.select(F.col("node").alias("row"), "comp").hint("merge").join(sizes, "row")
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / DOCS), F.ceil(F.sum("n") / SHINGLES)).cast("int")
+    rows = rows.join(rows.groupBy("comp").agg(parts.alias("parts")), "comp")
+    # Blocks i <= j meet in group (comp, i, j): a document of block k is in those with i = k or j = k.
+    own = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    rows = rows.select("row", "comp", own.alias("own"), other.alias("other"))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return rows.select("row", F.xxhash64("comp", low, high).alias("gid"), side.alias("side"))
+
+
+def near_duplicates(documents: DataFrame, settings: Settings = Settings(), keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, text) to (doc_id, n_shingles, component_id, first[, text and kept columns]): a row for each document.
 
     component_id is the smallest doc_id reachable over links. ``first`` is true for one row of each
     component, also where doc_ids repeat, and for rows with an empty set.
+
+    Joins of sides that both grow with the documents are hinted to sort-merge, which splits hot keys.
     """
     signed = _signed(documents, settings, keep)
     classes = written(signed.where("n > 0").groupBy("digest").agg(F.min("row").alias("rep"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")))
-    reps = signed.join(classes.select(F.col("rep").alias("row")), "row", "left_semi").select("row", "n", "sketch", "bands")
+    reps = signed.select("row", "n", "sketch", "bands").hint("merge").join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
     reps = written(reps, compression="none")
 
     banded = reps.select("row", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = written(banded.join(shared, "key"))
-    # Most central: in the largest buckets over all its bands.
-    central = members.groupBy("row").agg(F.sum("size").alias("weight"))
-    members = written(members.join(central, "row").select("key", "row", "weight"))
-    reps = reps.select("row", "n", "sketch")
-
-    tested, links, labels = None, None, None
-    for turn in range(rounds):
-        now = members if labels is None else members.join(labels.withColumnRenamed("node", "row"), "row", "left").select("key", "row", "weight", F.coalesce("comp", "row").alias("comp"))
-        if labels is not None:
-            # Buckets that are not yet in one component; their largest remaining part next.
-            sizes = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("weight", "row")).alias("lead"))
-            open_ = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("all"), F.sum(F.col("size") * F.col("size")).alias("squares"), F.max(F.struct("size", "lead")).alias("top")).where("parts > 1")
-            open_ = written(open_.select("key", ((F.col("all") * F.col("all") - F.col("squares")) / 2).cast("long").alias("pairs"), F.col("top.lead.row").alias("lead"), F.col("all")))
-            now = now.join(open_, "key")
-            left, most = open_.agg(F.sum("pairs"), F.sum("all")).first()
-            if not left:
-                break
-            if turn + 1 >= rounds or left <= 4 * most:  # all that is left, in the last turn however much
-                other = now.select("key", F.col("row").alias("a"), F.col("comp").alias("ca"))
-                pairs = other.join(now.select("key", F.col("row").alias("b"), F.col("comp").alias("cb")), "key").where("a < b and ca <> cb")
-                turn = rounds
-            else:
-                pairs = now.where("row <> lead").select(F.least("row", "lead").alias("a"), F.greatest("row", "lead").alias("b"))
-        else:
-            leads = now.groupBy("key").agg(F.max(F.struct("weight", "row")).alias("lead")).select("key", F.col("lead.row").alias("lead"))
-            pairs = now.join(leads, "key").where("row <> lead").select(F.least("row", "lead").alias("a"), F.greatest("row", "lead").alias("b"))
-        pairs = pairs.select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs)
-        tested = pairs if tested is None else tested.union(pairs)
-        found = written(_confirmed(written(_likely(pairs, reps, settings)), signed, settings))
-        links = found if links is None else links.union(found)
-        labels = components(links)
-        if turn == rounds:
-            break
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("row").alias("lowest")).where("size > 1")
+    members = written(banded.hint("merge").join(shared, "key"))
+    few = members.where(F.col("size") <= LARGE).select("key", "row").hint("merge").join(reps.select("row", "n", "sketch"), "row").select("key", "row", "n", "sketch")
+    many = members.where((F.col("size") > LARGE) & (F.col("row") != F.col("lowest"))).select(F.col("lowest").alias("a"), F.col("row").alias("b"))
+    families = components(_families(few, settings).union(many))
+
+    groups = written(_grouped(families, reps.select("row", "n")))
+    texts = signed.select("row", "text").hint("merge").join(groups, "row").select("gid", "side", "row", "text")
+    labels = components(_linked(texts, settings))
 
     named = classes.select(F.col("rep").alias("node"), "least").join(labels, "node")
     named = named.join(named.groupBy("comp").agg(F.min("least").alias("lowest")), "comp").select(F.col("node").alias("rep"), "lowest")
     named = classes.join(named, "rep", "left").select("digest", F.coalesce("lowest", "least").alias("lowest"))
     more = [F.col("text")] + [F.col("rest")[c].alias(c) for c in keep] if keep else []
-    rows = signed.select("row", "doc_id", "n", "digest", *(("text", "rest") if keep else ())).join(named, "digest", "left")
+    rows = signed.select("row", "doc_id", "n", "digest", *(("text", "rest") if keep else ())).hint("merge").join(named, "digest", "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("lowest.doc_id", "doc_id").alias("component_id"), F.coalesce(F.col("lowest.row") == F.col("row"), F.lit(True)).alias("first"), *more)
 
 
