@@ -73,6 +73,10 @@ def array_contains_all(column: str | Column, values: list) -> Column:
     return F.size(F.array_except(F.array(*(F.lit(v) for v in values)), c)) == 0
 
 
+def _element_contains(value):
+    return lambda x: _contains(x, value, "$")
+
+
 def _contains(c: Column, value, path: str) -> Column:
     if isinstance(value, dict):
         is_object = F.schema_of_variant(F.try_variant_get(c, path, "variant")).startswith("OBJECT") if path != "$" else F.lit(True)
@@ -84,7 +88,7 @@ def _contains(c: Column, value, path: str) -> Column:
         items = F.try_variant_get(c, path, "array<variant>")
         out = items.isNotNull()
         for v in value:
-            out = out & F.exists(items, lambda x, v=v: _contains(x, v, "$"))
+            out = out & F.exists(items, _element_contains(v))
         return F.coalesce(out, F.lit(False))
     kind = F.schema_of_variant(F.try_variant_get(c, path, "variant"))
     if value is None:
