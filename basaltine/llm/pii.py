@@ -314,9 +314,13 @@ def _listed(column: str) -> F.Column:
     return F.array_join(F.transform(column, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _counted(column: str, kind: int) -> F.Column:
+    return F.size(F.filter(column, lambda s: s["kind"] == kind)).cast("long")
+
+
 def op7_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = find(documents, fit(documents))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [_counted("base", k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return rows.select("doc_id", *counts, F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("spans").alias("spans"))
