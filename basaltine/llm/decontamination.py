@@ -153,10 +153,11 @@ def _merge(column: str) -> F.Column:
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10, keep: tuple[str, ...] | None = None) -> DataFrame:
-    """(doc_id, text) and (item_id, text) to (row, doc_id, n_words, spans, bytes, items[, text, kept columns]).
+    """(doc_id, text) and (item_id, text) to (row, doc_id, n_words, spans, bytes, items), with ``keep`` to (doc_id, ..., items, text, kept columns).
 
     spans are merged hit words [start, end) of the document, bytes the same in UTF-8 bytes of its
-    text; items are the ids of all items with an occurring window. ``keep``: further columns, and the text.
+    text; items are the ids of all items with an occurring window. A kept column mustn't have a
+    result's name: put it in a struct.
     """
     rest = F.struct(*(keep or ()), F.lit(0).alias("__none")).alias("rest")
     documents = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", rest)
@@ -173,7 +174,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10,
             out = out.unionByName(x, allowMissingColumns=True)
         more = [F.first(c, ignorenulls=True).alias(c) for c in ("text", "rest")] if keep is not None else []
         out = out.groupBy("row").agg(F.first("doc_id", ignorenulls=True).alias("doc_id"), F.max("n_words").alias("n_words"), _merge("spans").alias("spans"), _merge("bytes").alias("bytes"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), *more)
-    return out if keep is None else out.select("row", "doc_id", "n_words", "spans", "bytes", "items", "text", *(F.col("rest")[c].alias(c) for c in keep))
+    return out if keep is None else out.select("doc_id", "n_words", "spans", "bytes", "items", "text", *(F.col("rest")[c].alias(c) for c in keep))
 
 
 def n_hit() -> F.Column:

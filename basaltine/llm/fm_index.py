@@ -21,7 +21,8 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for j in range(width):
         key *= base
-        key[: n - j] += first[j:]
+        if j < n:
+            key[: n - j] += first[j:]
     order = np.argsort(key, kind="stable")
     new = np.ones(n, bool)
     key = key[order]

@@ -145,9 +145,9 @@ class Index:
                     continue
                 last[doc, t] = (shift, a + end)
                 out.append((doc, t, matched / len(mine), matched, a + begin, a + end))
-        # Of overlapping matches the one with the best coverage, then the longest, stays.
+        # Of overlapping matches the one with most matched words, then the best coverage, stays.
         kept: dict[int, list] = {}
-        for m in sorted(out, key=lambda m: (-m[2], -m[3], m[4], m[1])):
+        for m in sorted(out, key=lambda m: (-m[3], -m[2], m[4], m[1])):
             mine = kept.setdefault(m[0], [])
             if not any(m[4] < o[5] and o[4] < m[5] for o in mine):
                 mine.append(m)

@@ -14,38 +14,39 @@ from basaltine.llm.common import written
 from basaltine.llm.tokens import digests
 
 
-def _rest(docs: DataFrame) -> tuple[str, ...]:
-    return tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+def _wrapped(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns in one, whose names can't clash with an operator's."""
+    return docs.select("doc_id", "text", F.struct(*(c for c in docs.columns if c not in ("doc_id", "text")), F.lit(0).alias("__none")).alias("rest"))
 
 
-def _with_text(rows: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """docs' columns with a new text; n_chars, where there is one, follows it."""
-    new = {"text": F.col(text), "n_chars": F.length(text).cast("long")}
-    return rows.select(*(new[c].alias(c) if c in new else c for c in docs.columns))
+def _columns(rows: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs' columns of wrapped rows; n_chars, where there is one, follows a new text."""
+    new = {"doc_id": F.col("doc_id"), "text": F.col(text), "n_chars": F.length(text).cast("long") if text != "text" else F.col("rest.n_chars")}
+    return rows.select(*((new[c] if c in new else F.col("rest")[c]).alias(c) for c in docs.columns))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is found; those without any letter go."""
-    model = langid.fit(docs)
-    return langid.identify(docs, model, tuple(docs.columns)).where("lang_pred <> 'und'").select(*docs.columns)
+    rows = langid.identify(_wrapped(docs), langid.fit(docs), ("doc_id", "text", "rest"))
+    return _columns(rows.where("lang_pred <> 'und'"), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest doc_id, of each group of near duplicates."""
-    rows = near_dup.near_duplicates(docs, near_dup.Settings(percent=80), keep=_rest(docs))
-    return rows.where("first").select(*docs.columns)
+    rows = near_dup.near_duplicates(_wrapped(docs), near_dup.Settings(percent=80), keep=("rest",))
+    return _columns(rows.where("first"), docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out; documents of nothing else go."""
-    found = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=_rest(docs))
+    found = decontamination.contamination(_wrapped(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=("rest",))
     left = found.where((F.size("spans") == 0) | (decontamination.n_hit() < F.col("n_words")))
-    return _with_text(decontamination.cut(left), docs, "text")
+    return _columns(decontamination.cut(left).withColumn("__text", F.col("text")), docs, "__text")
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind in brackets."""
-    return _with_text(pii.find(docs, pii.fit(docs), tuple(c for c in docs.columns if c != "text"), redact=True), docs, "__text")
+    return _columns(pii.find(_wrapped(docs), pii.fit(docs), ("doc_id", "rest"), redact=True), docs, "__text")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
