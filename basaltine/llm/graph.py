@@ -1,4 +1,4 @@
-"""Connected components by minimum labels, in joins and aggregations over shared tables."""
+"""Connected components by contraction, in joins and aggregations over shared tables."""
 
 from __future__ import annotations
 
@@ -8,20 +8,30 @@ from pyspark.sql import functions as F
 from .common import written
 
 
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Distinct edges a < b."""
+    return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(a, b) long to (node, comp): the smallest node that each linked node reaches.
 
-    Every turn takes the smallest label among neighbours and then the label's own label, so long
-    chains shorten fast. A hub's links are only joined and aggregated with partial sums, never
-    gathered. Null ends and self links are ignored; an empty table gives no rows.
+    In a turn every node points to its smallest neighbour if that is smaller; pointers are followed to
+    their roots by doubling, each tree becomes its root, and only edges between different roots go on,
+    so at least half of the nodes go in a turn. A hub's links are joined and aggregated with partial
+    sums, never gathered. Null ends and self links are ignored; an empty table gives no rows.
     """
-    links = links.where("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-    edges = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = written(edges.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("comp")))
+    edges, labels = written(_contracted(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))), None
     while True:
-        jumped = labels.alias("x").join(labels.select(F.col("node").alias("comp"), F.col("comp").alias("next")), "comp").select("node", F.col("comp").alias("old"), F.least("comp", "next").alias("comp"))
-        near = edges.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("least")).withColumnRenamed("a", "node")
-        after = written(jumped.join(near, "node").select("node", "old", F.least("comp", "least").alias("comp")))
-        labels = after.select("node", "comp")
-        if after.where("comp <> old").isEmpty():
+        near = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("up")))
+        up = written(near.groupBy("node").agg(F.min("up").alias("up")))
+        while True:
+            after = written(up.join(up.select(F.col("node").alias("up"), F.col("up").alias("top")), "up").select("node", "up", "top"))
+            up = after.select("node", F.col("top").alias("up"))
+            if after.where("top <> up").isEmpty():
+                break
+        labels = up.withColumnRenamed("up", "comp") if labels is None else written(labels.join(up.select(F.col("node").alias("comp"), "up"), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")))
+        ends = [up.select(F.col("node").alias(x), F.col("up").alias(f"{x}_up")) for x in "ab"]
+        edges = written(_contracted(edges.join(ends[0], "a").join(ends[1], "b").select(F.col("a_up").alias("a"), F.col("b_up").alias("b"))))
+        if edges.isEmpty():
             return labels
