@@ -166,6 +166,39 @@ class Table:
             df = df.where(where.column())
         return df.select(*columns) if columns else df.drop(_FILE, _INDEX)
 
+    def positions(self, where: Where = None) -> DataFrame:
+        """Rows with the file and row index they lie at, the only system columns there are."""
+        m, where = self.manifest, predicate(where)
+        df = self._matched(m, where)
+        return df.withColumnsRenamed({_FILE: "row_file", _INDEX: "row_index"})
+
+    def cached(self, columns: list[str] | None = None) -> DataFrame:
+        """Rows of some columns, decompressed once and kept by the executors."""
+        return self.read(columns=columns).cache()
+
+    def analyze(self, columns: list[str] | None = None) -> DataFrame:
+        """For each column: rows, share of nulls, approximate distinct values, least and greatest as text."""
+        fields = [f for f in self.schema if columns is None or f.name in columns]
+        df, aggs = self.read(columns=[f"`{f.name}`" for f in fields]), [F.count(F.lit(1)).alias("n")]
+        for i, f in enumerate(fields):
+            c = F.col(f"`{f.name}`")
+            some = not isinstance(f.dataType, _NO_RANGE)
+            aggs += [F.avg(c.isNull().cast("double")).alias(f"u{i}"), F.approx_count_distinct(c.cast("string")).alias(f"d{i}")]
+            aggs += [(x(c).cast("string") if some else F.first(F.lit(None).cast("string"))).alias(f"{k}{i}") for k, x in (("a", F.min), ("b", F.max))]
+        one = df.agg(*aggs)
+        rows = F.array(*(F.struct(F.lit(f.name).alias("column"), F.col("n").alias("rows"), F.col(f"u{i}").alias("null_share"), F.col(f"d{i}").alias("distinct"), F.col(f"a{i}").alias("least"), F.col(f"b{i}").alias("greatest")) for i, f in enumerate(fields)))
+        return one.select(F.explode(rows).alias("r")).select("r.*")
+
+    def sample(self, share: float, seed: int | None = None) -> DataFrame:
+        """Columnar tables refuse; row-batch tables sample rows."""
+        raise ValueError(f"{self.layout} tables can't be sampled")
+
+    def check_unique(self, keys: list[str]) -> None:
+        """Raise if live rows repeat a key; keys with a null don't count."""
+        rows = self.read().dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect()
+        if rows:
+            raise ValueError(f"duplicate key: {rows[0].asDict()}")
+
     def prune_report(self, where: Where) -> dict[str, int]:
         m, where = self.manifest, predicate(where)
         kept = self._kept(m, where)
@@ -476,6 +509,9 @@ class RowTable(Table):
     def _prunable(self, m: Manifest, name: str) -> bool:
         return name == m.options["pruning_column"]
 
+    def sample(self, share: float, seed: int | None = None) -> DataFrame:
+        return self.read().sample(share, seed)
+
     def batches_view(self) -> DataFrame:
         return self.stripes_view().select("storage_id", F.col("stripe_num").alias("batch_num"), "file_offset", "data_length", "first_row_number", "row_count")
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basaltine.operators.predicates import Field
+from basaltine.functions.ranges import enum_ordinal, make_range, range_contains, range_order, range_overlaps
 from basaltine.sources.manifest import Store
 from basaltine.sources.options import ColOptions, RowOptions, parse_orderby
+from basaltine.sources.session import Settings
 from basaltine.sources.table import ColTable, RowTable, open_table
 
 SCHEMA = T.StructType([T.StructField("k", T.LongType()), T.StructField("v", T.DoubleType()), T.StructField("s", T.StringType())])
@@ -156,3 +158,37 @@ def test_empty(spark, tmp_path):
     t = ColTable.create(spark, f"file://{tmp_path}/t", SCHEMA)
     assert t.read().count() == 0 and t.delete("k = 1") == 0 and t.update({"v": "1"}) == 0
     assert t.merge() == 0 and t.vacuum() == 0 and t.insert(t.read()) == 0
+
+
+def test_positions_statistics_and_keys(spark, tmp_path):
+    t = make(spark, tmp_path, 30)
+    assert t.positions(Field("k") == 4).select("k", "row_index").collect() == [(4, 4)]
+    stats = {r.column: r for r in t.analyze().collect()}
+    assert stats["k"].rows == 30 and stats["k"].greatest == "29" and abs(stats["s"].null_share - 1 / 3) < 1e-9
+    assert t.cached(["k"]).count() == 30
+    t.check_unique(["k"])
+    t.insert(t.read().where("k = 3"))
+    with pytest.raises(ValueError):
+        t.check_unique(["k"])
+    with pytest.raises(ValueError):
+        t.sample(0.5)
+
+
+def test_session_settings(spark):
+    with pytest.raises(ValueError):
+        Settings(compression_level=30)
+    conf = Settings(compression="lz4", vectorization=False).conf()
+    assert conf["spark.sql.parquet.compression.codec"] == "lz4raw" and conf["spark.sql.codegen.wholeStage"] == "false"
+
+
+def test_ranges_and_enums(spark):
+    r = lambda *a: spark.range(1).select(make_range(*a).alias("r"))
+    assert r(1, 5).select(range_contains(F.col("r"), 1), range_contains(F.col("r"), 5)).first() == (True, False)
+    assert r(None, 5, "(]").select(range_contains(F.col("r"), 5), range_contains(F.col("r"), -100)).first() == (True, True)
+    assert r(3, 3).select("r.empty", range_contains(F.col("r"), 3)).first() == (True, False)
+    touch = spark.range(1).select(range_overlaps(make_range(1, 3), make_range(3, 5)), range_overlaps(make_range(1, 3, "[]"), make_range(3, 5)), range_overlaps(make_range(1, 3), make_range(2, None)))
+    assert touch.first() == (False, True, True)
+    ordered = spark.range(1).select(F.explode(F.array(make_range(2, 4), make_range(2, 3), make_range(F.lit(None).cast("int"), 9), make_range(7, 7))).alias("r")).orderBy(range_order(F.col("r")))
+    assert [(x.r.lower, x.r.upper) for x in ordered.collect()] == [(None, None), (None, 9), (2, 3), (2, 4)]
+    moods = spark.createDataFrame([("ok",), ("sad",), (None,)], "m string").select(enum_ordinal("m", ["sad", "ok"]).alias("o"))
+    assert [x.o for x in moods.collect()] == [2, 1, None]
