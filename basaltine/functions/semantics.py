@@ -1,4 +1,4 @@
-"""Aggregates, containment and the unsigned 64-bit type with PostgreSQL's results, as Columns."""
+"""Widening aggregates, containment and the unsigned 64-bit type, as Columns."""
 
 from __future__ import annotations
 
