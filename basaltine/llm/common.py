@@ -45,12 +45,33 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """mapInArrow whose workers can import this package."""
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable):
+    """What a worker process keeps from task to task; one thing at a time."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def _lean(fn: Callable, keep: bool) -> Callable:
+    def run(batches):
+        if not keep and _kept:  # an earlier task of another kind left it
+            _kept.clear()
+            pa.default_memory_pool().release_unused()
+        return fn(batches)
+
+    return run
+
+
+def map_arrow(df: DataFrame, fn: Callable, schema, keep: bool = False) -> DataFrame:
+    """mapInArrow whose workers can import this package; with ``keep`` they keep what ``kept`` holds."""
     env = df.sparkSession.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(_lean(fn, keep), schema)
 
 
 def partitions(spark: SparkSession) -> int:

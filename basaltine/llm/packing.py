@@ -187,7 +187,7 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int
     kind = documents.schema["doc_id"].dataType.simpleString()
     path = shared_dir(spark)
     layout = Layout(page=1 << 20).options()
-    map_arrow(documents.select("doc_id", "text"), cut, f"piece_id long, part int, cls int, nth long, doc_id {kind}, start long, length long, doc_tokens long, ids array<int>").write.options(**layout).parquet(path)
+    map_arrow(documents.select("doc_id", "text"), cut, f"piece_id long, part int, cls int, nth long, doc_id {kind}, start long, length long, doc_tokens long, ids array<int>", keep=True).write.options(**layout).parquet(path)
     pieces = spark.read.parquet(path)
 
     by_part = pieces.groupBy("cls", "part").agg(F.count(F.lit(1)).alias("n"))

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, partitions, shared_dir
+from .common import kept, map_arrow, partitions, shared_dir
 
 # The split of the word-level vocabulary, for texts within Latin-1.
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\\sa-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
@@ -32,7 +32,8 @@ _PLAIN = re.compile("[\x21-\x7e\xa1-\xff]*")
 # White space of the tokenizers' library, which lacks \x1c-\x1f of str.split().
 _WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _ODD = re.compile("[\x1c-\x1f]")
-_LONGEST, _MOST = 48, 400_000
+#: Length of a cached run, and cached runs and pre-tokens, at most. The caches are a worker's largest memory.
+_LONGEST, _RUNS, _WORDS = 48, 250_000, 250_000
 
 
 def _byte_chars() -> dict[int, str]:
@@ -52,7 +53,7 @@ class _Pieces(dict):
         word = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.chars)
         ids = [t.id for t in self.model.tokenize(word)]
         out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) < _MOST and len(piece) <= _LONGEST:
+        if len(self) < _WORDS and len(piece) <= _LONGEST:
             self[piece] = out
         return out
 
@@ -65,12 +66,14 @@ class _Chunks(dict):
         self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
     def __missing__(self, chunk: str) -> bytes:
-        if _PLAIN.fullmatch(chunk) and not any(t in chunk for t in self.added):
+        if chunk.isascii() and chunk[:-1].isalpha():  # letters, and perhaps one mark or digit
+            out = self.pieces[chunk.lower()] if chunk.isalpha() else self.pieces[chunk[:-1].lower()] + self.pieces[chunk[-1]]
+        elif _PLAIN.fullmatch(chunk) and not ("<" in chunk and any(t in chunk for t in self.added)):
             out = b"".join(map(self.pieces.__getitem__, _PIECES.findall(chunk.lower())))
         else:
             ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
             out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) < _MOST and len(chunk) <= _LONGEST:
+        if len(self) < _RUNS and len(chunk) <= _LONGEST:
             self[chunk] = out
         return out
 
@@ -104,14 +107,9 @@ class Encoder:
         return b"".join(map(self.chunks.__getitem__, runs))
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One per worker process."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """One per worker process, until it does other work."""
+    return kept(f"encoder {path}", lambda: Encoder(path))
 
 
 def id_lists(parts: list[bytes]) -> pa.ListArray:
@@ -189,7 +187,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
                     ids, docs, size = [], [], 0
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    map_arrow(rows, encode, f"part int, doc_id {kind}, local_start long, n_tokens long, ids array<int>").write.options(**layout.options()).parquet(f"{path}/ids")
+    map_arrow(rows, encode, f"part int, doc_id {kind}, local_start long, n_tokens long, ids array<int>", keep=True).write.options(**layout.options()).parquet(f"{path}/ids")
     # One row for each file, which the writer chose the number of.
     sums = sorted(spark.read.parquet(f"{path}/ids").groupBy("part").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("docs")).collect())
     before, at = [], 0

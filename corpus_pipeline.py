@@ -41,7 +41,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Benchmark passages are cut out; documents of nothing else go."""
     found = decontamination.contamination(_wrapped(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=("rest",))
     left = found.where((F.size("spans") == 0) | (decontamination.n_hit() < F.col("n_words")))
-    return _columns(decontamination.cut(left).withColumn("__text", F.col("text")), docs, "__text")
+    # Written first: two Python operators in one task would double a worker's processes, and their memory.
+    return _columns(decontamination.cut(written(left)).withColumn("__text", F.col("text")), docs, "__text")
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
