@@ -3,8 +3,10 @@
 A vector is approximated by the sum of one code from each of several full-dimensional
 codebooks. Codebooks start as residual k-means and are then solved together by least squares on
 beam-search encodings of a bounded sample. The index stores the codes, the squared norm of the
-approximation and the vector. A search scores all rows by lookup tables (norm minus twice the sum
-of a query's products with the codes), and reranks the best of every chunk of rows exactly.
+approximation and the vector. A search scores all distinct vectors by lookup tables (norm minus twice
+the sum of a query's products with the codes), and reranks the best of every chunk of rows exactly.
+Equal vectors of a chunk are one candidate, which stands for its smallest ids, and all vectors that
+score as the last candidate does are candidates too, so no tie is cut.
 
 Queries come in blocks of bounded size; each block is one pass over the index, whose tasks return
 at most k rows for a query.
@@ -129,7 +131,8 @@ def build(vectors: DataFrame, books: int = 8, beam: int = 8) -> tuple[DataFrame,
 def search(index: DataFrame, quantiser: Quantiser | None, dim: int, queries: DataFrame, k: int = 10, rerank: int = 192) -> DataFrame:
     """(vec_id, embedding) queries to (query_id, rank, vec_id, score): the k nearest found.
 
-    Of every CHUNK rows of the index, each query's best ``rerank`` by lookup tables are measured exactly.
+    Of every CHUNK rows of the index, each query's best ``rerank`` distinct vectors by lookup tables, and
+    those that tie with the last, are measured exactly.
     """
     spark = index.sparkSession
     if quantiser is None:
@@ -151,6 +154,14 @@ def search(index: DataFrame, quantiser: Quantiser | None, dim: int, queries: Dat
     return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _classes(vectors: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows sorted by distinct vector and then id, the first of each vector (n + 1), and each row's vector."""
+    whole = np.ascontiguousarray(vectors + 0.0)  # -0.0 equals 0.0
+    _, kind = np.unique(whole.view(np.dtype((np.void, whole.itemsize * whole.shape[1]))).ravel(), return_inverse=True)
+    rows = np.lexsort((ids, kind))
+    return rows, np.searchsorted(kind[rows], np.arange(kind.max() + 2)), kind
+
+
 def _scan(quantiser, block, dim: int, k: int, rerank: int):
     def scan(batches):
         q, (ids, x) = quantiser.value, block.value
@@ -168,24 +179,33 @@ def _scan(quantiser, block, dim: int, k: int, rerank: int):
             for a in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(a, CHUNK)
                 own, vectors = part.column(0).to_numpy().astype(np.int64), _matrix(part.column(3), dim)
-                code = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, books)
-                norm = part.column(2).to_numpy()
+                rows, first, kind = _classes(vectors, own)
+                head, size = rows[first[:-1]], np.diff(first)
+                code = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, books)[head]
+                norm = part.column(2).to_numpy()[head]
+                cand, dists = np.zeros((len(ids), k), np.int64), np.full((len(ids), k), np.inf)
                 for b in range(0, len(ids), 256):
-                    score = np.broadcast_to(norm, (len(ids[b : b + 256]), len(own))).copy()
+                    mine = ids[b : b + 256]
+                    score = np.broadcast_to(norm, (len(mine), len(head))).copy()
                     for m in range(books):
                         score -= 2 * lut[m, b : b + 256][:, code[:, m]]
-                    score[ids[b : b + 256, None] == own] = np.inf
-                    keep = min(rerank, len(own))
-                    best = np.argpartition(score, keep - 1, axis=1)[:, :keep]
-                    dist = np.empty(best.shape)
-                    for i in range(len(best)):
-                        dist[i] = np.sqrt(((vectors[best[i]] - x[b + i]) ** 2).sum(1))
-                    dist[np.isinf(np.take_along_axis(score, best, 1))] = np.inf
-                    if b == 0:
-                        cand, dists = [], []
-                    cand.append(own[best])
-                    dists.append(dist)
-                add(np.concatenate(cand), np.concatenate(dists))
+                    at, row = np.nonzero(mine[:, None] == own)
+                    same = np.zeros(score.shape, np.int32)  # rows of the query's own id among each vector's
+                    np.add.at(same, (at, kind[row]), 1)
+                    score[same == size] = np.inf
+                    keep = min(rerank, len(head))
+                    last = np.partition(score, keep - 1, axis=1)[:, keep - 1]
+                    for i in range(len(mine)):
+                        best = np.flatnonzero((score[i] <= last[i]) & (score[i] < np.inf))
+                        dist = np.sqrt(((vectors[head[best]] - x[b + i]) ** 2).sum(1))
+                        many = np.minimum(size[best], k + same[i, best])
+                        place = np.arange(many.sum()) + np.repeat(first[best] - np.cumsum(many) + many, many)
+                        found, dist = own[rows[place]], np.repeat(dist, many)
+                        other = found != mine[i]
+                        found, dist = found[other], dist[other]
+                        order = np.lexsort((found, dist))[:k]
+                        cand[b + i, : len(order)], dists[b + i, : len(order)] = found[order], dist[order]
+                add(cand, dists)
         some = np.isfinite(far)
         if some.any():
             yield pa.record_batch([pa.array(np.repeat(ids, some.sum(1))), pa.array(near[some]), pa.array(far[some])], ["query_id", "vec_id", "score"])

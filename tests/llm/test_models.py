@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -219,6 +220,35 @@ def test_neighbours(spark):
     assert hit >= 0.9 * 310 and next(r for r in got if r.query_id == 3 and r["rank"] == 1).vec_id == 7
 
 
+def test_many_copies_keep_the_smallest_ids(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4096, 16))
+    x[rng.permutation(4096)[:1365]] = x[0]  # far more equal vectors than are reranked
+    x[rng.permutation(4096)[:600], 0] *= -0.0
+    ids = rng.permutation(4096)
+    df = spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in zip(ids, x, strict=True)], "vec_id long, embedding array<double>").coalesce(1)
+    index, quantiser, dim = ann.build(df)
+    group = sorted(int(i) for i, r in zip(ids, x, strict=True) if (r == x[0]).all())
+    near = x[0] + 1e-3
+    asked = [(group[0], x[0]), (group[700], x[0]), (9001, near)]
+    got = ann.search(index, quantiser, dim, spark.createDataFrame([(i, [float(v) for v in r]) for i, r in asked], "vec_id long, embedding array<double>")).collect()
+    for i, _ in asked:
+        assert [r.vec_id for r in sorted((r for r in got if r.query_id == i), key=lambda r: r["rank"])] == [j for j in group if j != i][:10]
+
+
+def test_equal_codes_are_not_cut():
+    # One code for all rows, so that the lookup tables can't tell them apart.
+    class Held:
+        def __init__(self, value):
+            self.value = value
+
+    x = np.arange(1.0, 1001.0)[:, None] * np.ones(4)
+    ids = np.random.default_rng(6).permutation(1000)
+    rows = pa.record_batch([pa.array(ids), pa.array([b"\0"] * 1000, pa.binary()), pa.array(np.zeros(1000, np.float32)), pa.array(x.tolist())], ["vec_id", "codes", "norm", "embedding"])
+    (got,) = ann._scan(Held(ann.Quantiser(np.zeros((1, 1, 4)))), Held((np.array([5000]), np.full((1, 4), 500.2))), 4, 10, 192)(iter([rows]))
+    assert got.column(1).to_pylist() == [int(ids[i - 1]) for i in (500, 501, 499, 502, 498, 503, 497, 504, 496, 505)]
+
+
 def test_few_and_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
     index, quantiser, dim = ann.build(df)
