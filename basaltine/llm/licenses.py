@@ -15,6 +15,8 @@ rows; further columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -105,6 +107,16 @@ def align(template: np.ndarray, text: np.ndarray, shift: int, band: int) -> tupl
     return best[1], best[2], best[3], best[0]
 
 
+def reachable(template: np.ndarray, text: np.ndarray, shift: int, band: int) -> int:
+    """How many of the template's words stand in the text within the band: no alignment there matches more."""
+    near = np.zeros(len(template), bool)
+    for d in range(shift - band, shift + band + 1):
+        a, b = max(0, -d), min(len(template), len(text) - d)
+        if a < b:
+            near[a:b] |= template[a:b] == text[a + d : b + d]
+    return int(near.sum())
+
+
 class Index:
     """Templates, and an inverted index from fingerprint to (template, word)."""
 
@@ -122,29 +134,52 @@ class Index:
         self.template = np.searchsorted(first, at, "right") - 1
         self.place = at - first[self.template]
 
+    def occurrences(self, t: int, text: np.ndarray, shift: np.ndarray, place: np.ndarray, coverage: float, band: int) -> list[tuple[int, int, int]]:
+        """(matched, first word, end word) of a template's matches in a text, from the diagonals and words of shared fingerprints.
+
+        Diagonals with most fingerprints come first; each is aligned in the words that no earlier match took,
+        as long as a fingerprint of it lies there.
+        """
+        mine, spans, out = self.words[t], [], []
+        shifts, which, many = np.unique(shift, return_inverse=True, return_counts=True)
+        for k in np.lexsort((shifts, -many)):
+            s, left = int(shifts[k]), np.unique(place[which == k]).tolist()
+            while left:
+                j = bisect_right(spans, (left[0], len(text)))
+                low, high = spans[j - 1][1] if j else 0, spans[j][0] if j < len(spans) else len(text)
+                if left[0] < low:
+                    left.pop(0)
+                    continue
+                a, b = max(low, s - band), min(high, s + len(mine) + band)
+                matched = begin = end = 0
+                if a < b and reachable(mine, text[a:b], s - a, band) >= coverage * len(mine):
+                    matched, begin, end, _ = align(mine, text[a:b], s - a, band)
+                if matched and matched >= coverage * len(mine):
+                    spans.insert(j, (a + begin, a + end))
+                    out.append((matched, a + begin, a + end))
+                else:
+                    left = [p for p in left if p >= high]
+        return out
+
     def scan(self, h: np.ndarray, first: np.ndarray, coverage: float, band: int) -> list[tuple[int, int, float, int, int, int]]:
         """(document, template, coverage, matched, first word, end word) of all matches."""
         value, at = fingerprints(h, first, self.gram, self.window)
         low, high = np.searchsorted(self.value, value), np.searchsorted(self.value, value, "right")
-        hits = set()
-        for i in np.flatnonzero(high > low):
-            doc = int(np.searchsorted(first, at[i], "right") - 1)
-            for k in range(low[i], high[i]):
-                hits.add((doc, int(self.template[k]), int(at[i] - first[doc] - self.place[k])))
-        out, last = [], {}
-        for doc, t, shift in sorted(hits):
-            if (doc, t) in last and shift - last[doc, t][0] <= band:  # the band around an earlier diagonal covers it
-                continue
-            mine = self.words[t]
-            text = h[first[doc] : first[doc + 1]]
-            a = max(0, shift - band)
-            part = text[a : max(a, shift + len(mine) + band)]
-            matched, begin, end, _ = align(mine, part, shift - a, band)
-            if matched >= coverage * len(mine):
-                if (doc, t) in last and a + begin < last[doc, t][1]:
-                    continue
-                last[doc, t] = (shift, a + end)
-                out.append((doc, t, matched / len(mine), matched, a + begin, a + end))
+        many = high - low
+        if not many.sum():
+            return []
+        k = np.arange(many.sum()) + np.repeat(high - np.cumsum(many), many)
+        doc = np.repeat(np.searchsorted(first, at, "right") - 1, many)
+        place = np.repeat(at, many) - first[doc]
+        template, shift = self.template[k], place - self.place[k]
+        order = np.lexsort((template, doc))
+        doc, template, shift, place = (x[order] for x in (doc, template, shift, place))
+        edges = [0, *(np.flatnonzero((np.diff(doc) != 0) | (np.diff(template) != 0)) + 1).tolist(), len(doc)]
+        out = []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            d, t = int(doc[a]), int(template[a])
+            for matched, begin, end in self.occurrences(t, h[first[d] : first[d + 1]], shift[a:b], place[a:b], coverage, band):
+                out.append((d, t, matched / len(self.words[t]), matched, begin, end))
         # Of overlapping matches the one with most matched words, then the best coverage, stays.
         kept: dict[int, list] = {}
         for m in sorted(out, key=lambda m: (-m[3], -m[2], m[4], m[1])):

@@ -160,6 +160,17 @@ def test_winnowing_keeps_shared_runs():
         assert set(x.tolist()) & set(y.tolist())
 
 
+@pytest.mark.parametrize("name", ["MIT:line", "CC-BY-NC-4.0:line", "Apache-2.0:line", "Apache-2.0:header"])
+def test_adjacent_licenses_are_all_found(name):
+    index = licenses.Index(licenses.TEMPLATES, 3, 3)
+    n = len(index.words[index.names.index(name)])
+    for many in (1, 2, 3, 7):
+        for text in (" ".join([licenses.TEMPLATES[name]] * many), prose(3, 9) + " " + " between ".join([licenses.TEMPLATES[name]] * many)):
+            h, _, _, first = licenses.words(*licenses.utf8(pa.array([text])), licenses.ALNUM)
+            rows = index.scan(h, first, 0.8, 8)
+            assert [index.names[r[1]] for r in rows] == [name] * many and all(r[5] - r[4] == n for r in rows)
+
+
 # ---------------------------------------------------------------- WARC
 
 
