@@ -4,7 +4,8 @@ Templates and documents are word sequences. Hashes of ``gram`` consecutive words
 ``window`` of them the smallest stays, so any run of gram + window - 1 shared words shares a
 fingerprint. An inverted index of the templates' fingerprints gives, for a document, templates
 and diagonals; around each diagonal the template is aligned with the document in a band, and the
-share of its words that match (coverage) and the matched span are reported.
+share of its words that match (coverage) and the matched span are reported. Short templates differ from
+each other by a name or version only, so these must stand in the match.
 
 Templates are a parameter, sent to all tasks; their total size is checked against ``MOST``.
 
@@ -44,6 +45,36 @@ TEMPLATES = {
     "MPL-2.0:header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
 }
 
+# What tells a short template from others of its wording. Each phrase, or one of its
+# alternatives, must stand whole in the match. A short template without an entry must match whole.
+_GPL = "GNU General Public License"
+MARKS = {
+    "Apache-2.0:line": ["Apache License Version 2.0|Apache License 2.0|Apache License v2.0|Apache License v 2.0"],
+    "Apache-2.0:header": ["Apache License Version 2.0|Apache License 2.0|Apache License v2.0|Apache License v 2.0"],
+    "CC-BY-4.0:line": ["Creative Commons Attribution 4.0"],
+    "CC-BY-NC-4.0:line": ["CC BY-NC 4.0"],
+    "CC-BY-SA-4.0:line": ["CC BY-SA 4.0"],
+    "GPL-2.0:line": [_GPL, "version 2 of the License"],
+    "GPL-3.0:line": [f"{_GPL} version 3|{_GPL} v3|{_GPL} v 3"],
+    "GPL-3.0:header": [_GPL, "version 3 of the License"],
+    "MIT:line": ["MIT License"],
+    "MPL-2.0:header": ["Mozilla Public License v 2.0|Mozilla Public License version 2.0|Mozilla Public License v2.0"],
+}
+#: Words of a short template at most.
+SHORT = 16
+
+
+def hashed(texts: list[str]) -> list[np.ndarray]:
+    """Word hashes of each text."""
+    h, _, _, first = words(*utf8(pa.array(texts, pa.string())), ALNUM)
+    return [h[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+
+
+def holds(text: np.ndarray, phrase: np.ndarray) -> bool:
+    """Whether the phrase's words stand in the text, one after another."""
+    n = len(text) - len(phrase) + 1
+    return n > 0 and bool(np.logical_and.reduce([text[j : j + n] == w for j, w in enumerate(phrase)]).any())
+
 
 def fingerprints(h: np.ndarray, first: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Winnowed hashes of word sequences that begin at ``first`` (n + 1), and the first word of each."""
@@ -120,7 +151,7 @@ def reachable(template: np.ndarray, text: np.ndarray, shift: int, band: int) ->
 class Index:
     """Templates, and an inverted index from fingerprint to (template, word)."""
 
-    def __init__(self, templates: dict[str, str], gram: int, window: int):
+    def __init__(self, templates: dict[str, str], gram: int, window: int, marks: dict[str, list[str]] | None = None):
         if sum(len(t.encode()) for t in templates.values()) > MOST:
             raise ValueError(f"templates of more than {MOST} bytes")
         self.names, self.gram, self.window = list(templates), gram, window
@@ -128,6 +159,8 @@ class Index:
         if len(templates) and np.diff(first).min() < gram:
             raise ValueError(f"a template has fewer than {gram} words")
         self.words = [h[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+        marks = MARKS if marks is None else marks
+        self.marks = [[hashed(m.split("|")) for m in marks.get(n, [templates[n]] if len(w) <= SHORT else [])] for n, w in zip(self.names, self.words, strict=True)]
         value, at = fingerprints(h, first, gram, window)
         order = np.argsort(value, kind="stable")
         self.value, at = value[order], at[order]
@@ -154,7 +187,8 @@ class Index:
                 matched = begin = end = 0
                 if a < b and reachable(mine, text[a:b], s - a, band) >= coverage * len(mine):
                     matched, begin, end, _ = align(mine, text[a:b], s - a, band)
-                if matched and matched >= coverage * len(mine):
+                found = text[a + begin : a + end]
+                if matched and matched >= coverage * len(mine) and all(any(holds(found, x) for x in m) for m in self.marks[t]):
                     spans.insert(j, (a + begin, a + end))
                     out.append((matched, a + begin, a + end))
                 else:
@@ -189,12 +223,13 @@ class Index:
         return sorted(m for mine in kept.values() for m in mine)
 
 
-def scan(documents: DataFrame, templates: dict[str, str] | None = None, gram: int = 3, window: int = 3, coverage: float = 0.8, band: int = 8) -> DataFrame:
+def scan(documents: DataFrame, templates: dict[str, str] | None = None, gram: int = 3, window: int = 3, coverage: float = 0.8, band: int = 8, marks: dict[str, list[str]] | None = None) -> DataFrame:
     """(doc_id, text) to (doc_id, license, coverage, matched, start_word, end_word, start, end): a row for each match.
 
+    ``marks`` are the phrases, by template, that a match must hold whole; see MARKS.
     start and end are UTF-8 byte offsets of the matched span.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(Index(TEMPLATES if templates is None else templates, gram, window))
+    shared = documents.sparkSession.sparkContext.broadcast(Index(TEMPLATES if templates is None else templates, gram, window, marks))
     names = ["doc_id", "license", "coverage", "matched", "start_word", "end_word", "start", "end"]
 
     def run(batches):

@@ -171,6 +171,23 @@ def test_adjacent_licenses_are_all_found(name):
             assert [index.names[r[1]] for r in rows] == [name] * many and all(r[5] - r[4] == n for r in rows)
 
 
+def found_in(text: str, **options) -> list[str]:
+    index = licenses.Index(options.get("templates", licenses.TEMPLATES), 3, 3)
+    (h,) = licenses.hashed([text])
+    return [index.names[r[1]] for r in index.scan(h, np.array([0, len(h)]), 0.8, 8)]
+
+
+def test_names_and_versions_decide():
+    assert "GPL-3.0:line" not in found_in("This work is licensed under the GNU General Public License, version 2.")
+    assert "Apache-2.0:line" not in found_in("Licensed under the Apache License, Version 1.0.")
+    assert "MIT:line" not in found_in("Released under the BSD License.")
+    assert "GPL-3.0:line" not in found_in("This work is licensed under the GNU Affero General Public License, version 3.")
+    assert "GPL-3.0:header" not in found_in(licenses.TEMPLATES["GPL-3.0:header"].replace("version 3", "version 2"))
+    assert found_in("Licensed under the Apache License 2.0.") == ["Apache-2.0:line"]
+    own = {"own": "Given under the Foo License, version 7."}
+    assert found_in("Given under the Foo License, version 8.", templates=own) == [] and found_in(own["own"], templates=own) == ["own"]
+
+
 # ---------------------------------------------------------------- WARC
 
 
