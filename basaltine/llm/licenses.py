@@ -16,6 +16,7 @@ rows; further columns are ignored.
 
 from __future__ import annotations
 
+import os
 from bisect import bisect_right
 
 import numpy as np
@@ -33,7 +34,7 @@ MOST = 32 << 20
 TEMPLATES = {
     "Apache-2.0:line": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0:header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
-    "BSD-2-Clause:text": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.',
+    "BSD-2-Clause:conditions": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.',
     "CC-BY-4.0:line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0:line": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0:line": "Licensed under CC BY-SA 4.0.",
@@ -41,22 +42,62 @@ TEMPLATES = {
     "GPL-3.0:line": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0:header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "MIT:line": "Released under the MIT License.",
-    "MIT:text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
+    "MIT:grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
     "MPL-2.0:header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "AGPL-3.0:header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "AGPL-3.0:line": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "BSD-2-Clause:line": "Licensed under the BSD 2-Clause License.",
+    "BSD-3-Clause:line": "Licensed under the BSD 3-Clause License.",
+    "BSL-1.0:line": "Distributed under the Boost Software License, Version 1.0.",
+    "CC-BY-NC-4.0:notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-NC-ND-4.0:notice": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-SA-4.0:notice": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-ND-4.0:notice": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-SA-4.0:notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "EPL-2.0:header": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "GPL-2.0:header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "GPL-2.0:notice": "This work is licensed under the GNU General Public License, version 2.",
+    "ISC:line": "Licensed under the ISC License.",
+    "LGPL-2.1:header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "LGPL-3.0:header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "LGPL-3.0:line": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "MIT:notice": "Licensed under the MIT License.",
+    "MPL-2.0:line": "Licensed under the Mozilla Public License, Version 2.0.",
 }
 
+# Whole texts lie in license_texts, a file for each SPDX identifier.
+TEXTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "license_texts")
+
+
+def built_in() -> dict[str, str]:
+    """The built-in lines, headers and whole texts."""
+    out = dict(TEMPLATES)
+    for name in sorted(os.listdir(TEXTS)):
+        with open(os.path.join(TEXTS, name), encoding="utf-8") as f:
+            out[f"{name.removesuffix('.txt')}:text"] = f.read()
+    return out
+
+
 # What tells a short template from others of its wording. Each phrase, or one of its
 # alternatives, must stand whole in the match. A short template without an entry must match whole.
-_GPL = "GNU General Public License"
+_GPL, _AGPL, _LGPL = "GNU General Public License", "GNU Affero General Public License", "GNU Lesser General Public License"
 MARKS = {
+    "AGPL-3.0:header": [_AGPL, "version 3 of the License"],
+    "AGPL-3.0:line": [f"{_AGPL} version 3|{_AGPL} v3|{_AGPL} v 3"],
     "Apache-2.0:line": ["Apache License Version 2.0|Apache License 2.0|Apache License v2.0|Apache License v 2.0"],
     "Apache-2.0:header": ["Apache License Version 2.0|Apache License 2.0|Apache License v2.0|Apache License v 2.0"],
     "CC-BY-4.0:line": ["Creative Commons Attribution 4.0"],
     "CC-BY-NC-4.0:line": ["CC BY-NC 4.0"],
     "CC-BY-SA-4.0:line": ["CC BY-SA 4.0"],
+    "EPL-2.0:header": ["Eclipse Public License 2.0|Eclipse Public License v 2.0|Eclipse Public License v2.0"],
+    "GPL-2.0:header": [_GPL, "version 2 of the License"],
+    "GPL-2.0:notice": [f"{_GPL} version 2|{_GPL} v2|{_GPL} v 2"],
     "GPL-2.0:line": [_GPL, "version 2 of the License"],
     "GPL-3.0:line": [f"{_GPL} version 3|{_GPL} v3|{_GPL} v 3"],
     "GPL-3.0:header": [_GPL, "version 3 of the License"],
+    "LGPL-2.1:header": [_LGPL, "version 2.1 of the License"],
+    "LGPL-3.0:header": [_LGPL, "version 3 of the License"],
+    "LGPL-3.0:line": [f"{_LGPL} version 3|{_LGPL} v3|{_LGPL} v 3"],
     "MIT:line": ["MIT License"],
     "MPL-2.0:header": ["Mozilla Public License v 2.0|Mozilla Public License version 2.0|Mozilla Public License v2.0"],
 }
@@ -229,7 +270,8 @@ def scan(documents: DataFrame, templates: dict[str, str] | None = None, gram: in
     ``marks`` are the phrases, by template, that a match must hold whole; see MARKS.
     start and end are UTF-8 byte offsets of the matched span.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(Index(TEMPLATES if templates is None else templates, gram, window, marks))
+    given = built_in() if templates is None else templates
+    shared = documents.sparkSession.sparkContext.broadcast(Index(given, gram, window, marks))
     names = ["doc_id", "license", "coverage", "matched", "start_word", "end_word", "start", "end"]
 
     def run(batches):

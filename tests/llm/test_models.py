@@ -188,6 +188,18 @@ def test_names_and_versions_decide():
     assert found_in("Given under the Foo License, version 8.", templates=own) == [] and found_in(own["own"], templates=own) == ["own"]
 
 
+@pytest.mark.parametrize("name", ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "MIT", "ISC", "Unlicense", "CC0-1.0", "BSL-1.0", "Zlib"])
+def test_whole_texts_are_found(name):
+    whole = licenses.built_in()
+    assert found_in(f"{prose(4, 30)} {whole[name + ':text']} {prose(5, 30)}", templates=whole) == [f"{name}:text"]
+
+
+def test_every_template_is_its_own_best():
+    whole = licenses.built_in()
+    for name in licenses.TEMPLATES:
+        assert found_in(whole[name], templates=whole) == [name]
+
+
 # ---------------------------------------------------------------- WARC
 
 
