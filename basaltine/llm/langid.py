@@ -64,6 +64,15 @@ class _Seen:
         return [raw[a:b].decode("utf-8", "replace") for a, b in zip(self.starts[at].tolist(), self.ends[at].tolist(), strict=True)]
 
 
+def lettered(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which texts have any letter."""
+    has = lambda kind: np.diff(np.concatenate([[0], np.cumsum(kind)])[offsets]) > 0
+    out = has(((data | 32) >= 97) & ((data | 32) <= 122))
+    for i in np.flatnonzero(~out & has(data >= 128)):
+        out[i] = any(c.isalpha() for c in data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace"))
+    return out
+
+
 @dataclass
 class Model:
     """For order 0 (words) and each n-gram order: sorted hashes and scores, hashes x languages."""
@@ -114,12 +123,8 @@ class Model:
         # Posterior of the best, as if of at most 20 independent words.
         edge = (mean - mean.max(1, keepdims=True)) * np.log(10) * np.clip(many, 1, 20)[:, None]
         sure = 1 / np.exp(edge).sum(1)
-        ascii_letter = ((data | 32) >= 97) & ((data | 32) <= 122)
-        count = np.concatenate([[0], np.cumsum(ascii_letter)])
-        plain = count[offsets[1:]] > count[offsets[:-1]]
-        for i in np.flatnonzero(np.diff(seen.first) > 0):
-            if plain[i] or any(c.isalpha() for c in data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace")):
-                out[i], score[i] = self.languages[best[i]], sure[i]
+        for i in np.flatnonzero(lettered(data, offsets)):
+            out[i], score[i] = self.languages[best[i]], sure[i]
         return out, score
 
 
@@ -195,7 +200,7 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, vocabulary: int = 60_000, gra
 
 
 def identify(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The kept columns, lang_pred and score, from whole texts."""
+    """The kept columns, lang_pred, score and whether there is any letter, from whole texts."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -203,10 +208,11 @@ def identify(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_i
         for batch in batches:
             data, offsets = utf8(batch.column(len(keep)))
             for a, b in blocks(offsets):
-                names, score = model.predict(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                yield pa.record_batch([*(c[a:b] for c in batch.columns[: len(keep)]), pa.array(names), pa.array(score)], [*keep, "lang_pred", "score"])
+                part = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                names, score = model.predict(*part)
+                yield pa.record_batch([*(c[a:b] for c in batch.columns[: len(keep)]), pa.array(names), pa.array(score), pa.array(lettered(*part))], [*keep, "lang_pred", "score", "letters"])
 
-    schema = T.StructType([documents.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([documents.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("letters", T.BooleanType())])
     return map_arrow(documents.select(*keep, F.col(text).alias("__text")), run, schema)
 
 

@@ -26,9 +26,10 @@ def _columns(rows: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found; those without any letter go."""
+    """Documents without any letter go; a null lang becomes the predicted one, or stays null where nothing was learned."""
     rows = langid.identify(_wrapped(docs), langid.fit(docs), ("doc_id", "text", "rest"))
-    return _columns(rows.where("lang_pred <> 'und'"), docs)
+    lang = F.coalesce("rest.lang", F.nullif("lang_pred", F.lit("und")))
+    return _columns(rows.where("letters").withColumn("rest", F.col("rest").withField("lang", lang)), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,3 +26,14 @@ def test_stages_take_odd_rows(spark, sf, odd, empty):
     for df in (docs, docs.limit(0)):
         for _, stage in corpus_pipeline.STAGES:
             df = written(stage(spark, df, sf))
+
+
+def test_language_is_filled_and_no_lettered_row_is_lost(spark, sf):
+    rows = [(i, ["the house and the garden", "das haus und der garten"][i % 2], [["en", "de"][i % 2], None][i > 20], "s", 1) for i in range(30)]
+    rows += [(30, "12 —", "en", "s", 1), (31, "日本語", None, "s", 1), (32, None, "de", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.lang for r in corpus_pipeline.language(spark, docs, sf).collect()}
+    assert set(got) == {*range(30), 31} and all(got[i] == ["en", "de"][i % 2] for i in range(30)) and got[31] in ("en", "de")
+    unknown = docs.selectExpr("doc_id", "text", "cast(null as string) as lang", "source", "n_chars")
+    got = {r.doc_id: r.lang for r in corpus_pipeline.language(spark, unknown, sf).collect()}
+    assert set(got) == {*range(30), 31} and set(got.values()) == {None}
