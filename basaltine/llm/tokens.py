@@ -50,7 +50,7 @@ class _Pieces(dict):
         self.model, self.chars = model, _byte_chars()
 
     def __missing__(self, piece: str) -> bytes:
-        word = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.chars)
+        word = piece.encode().decode("latin-1").translate(self.chars)
         ids = [t.id for t in self.model.tokenize(word)]
         out = struct.pack(f"<{len(ids)}I", *ids)
         if len(self) < _WORDS and len(piece) <= _LONGEST:
@@ -66,7 +66,7 @@ class _Chunks(dict):
         self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
     def __missing__(self, chunk: str) -> bytes:
-        if chunk.isascii() and chunk[:-1].isalpha():  # letters, and perhaps one mark or digit
+        if chunk.isascii() and chunk[:-1].isalpha() and chunk.isprintable():  # letters, and perhaps one mark or digit
             out = self.pieces[chunk.lower()] if chunk.isalpha() else self.pieces[chunk[:-1].lower()] + self.pieces[chunk[-1]]
         elif _PLAIN.fullmatch(chunk) and not ("<" in chunk and any(t in chunk for t in self.added)):
             out = b"".join(map(self.pieces.__getitem__, _PIECES.findall(chunk.lower())))
@@ -97,6 +97,8 @@ class Encoder:
         kinds = [x.get("type") for x in norm.get("normalizers", [])]
         split = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         by_run = kinds == ["NFC", "Replace", "Lowercase"] and split.get("pattern", {}).get("Regex") == _SPLIT and split.get("behavior") == "Removed" and not spec.get("post_processor")
+        # Runs are looked at for added tokens only where they hold a "<".
+        by_run &= all("<" in t.content and not _WHITE.search(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         self.chunks = _Chunks(self.tokenizer) if by_run else None
 
     def __call__(self, text: str) -> bytes:

@@ -26,6 +26,12 @@ def test_encoder_is_the_library(text):
     assert tokens.encoder(PATH)(text) == ids(text).tobytes()
 
 
+@pytest.mark.parametrize("text", ["A\x08", "abc\x7f", "word\x00", "a\x1f b", "a\x1cb", "\x01", "x\x80", "abc\xad", "ab<", "don't", "it's\x00's", "a\u200bb"])
+def test_encoder_on_control_characters(text):
+    for t in (text, f"{text} {text}", f"x {text}\n{text}y"):
+        assert tokens.encoder(PATH)(t) == ids(t).tobytes()
+
+
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_round_trip(spark, odd, encoding):
     path = tokens.write_tokens(odd, shared_dir(spark), PATH, layout=tokens.Layout(encoding))
