@@ -106,30 +106,111 @@ def test_long_runs_are_linear():
         pii.base_spans(text)
 
 
-def test_field(spark, odd, empty):
-    rows = [(i, f"call +1 (555) 123-45{i % 90 + 10} now or mail user{i}@mail.example.com at 10.0.0.{i % 200} version 2.0 of {i} items") for i in range(120)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    field = pii.fit(docs)
-    base, spans = pii.all_spans("mail bob@mail.example.com or 10.0.0.7 version 2.0", field)
-    assert base == plain_spans("mail bob@mail.example.com or 10.0.0.7 version 2.0") and set(base) <= set(spans)
-    assert not any("2.0" == "mail bob@mail.example.com or 10.0.0.7 version 2.0"[s:e] for s, e, _ in spans)
+def pii_rows(n):
+    kinds = [
+        lambda i: f"call +1 (555) 123-45{i % 90 + 10} now",
+        lambda i: f"mail user{i}@mail.example.com ok",
+        lambda i: f"from 10.{i % 200}.0.{i * 7 % 200} down",
+        lambda i: "card " + next(c for c in (f"45{i:05d}1234567{d}0{d}" for d in range(10)) if pii._luhn(c[:16]))[:16] + " paid" if any(pii._luhn(f"45{i:05d}1234567{d}0{d}"[:16]) for d in range(10)) else "no card",
+    ]
+    return [(i, f"{prose(i, 12)} {kinds[i % 4](i)} {prose(i + 1, 12)} version {i % 9}.0 of {i} items") for i in range(n)]
+
+
+@pytest.fixture(scope="module")
+def field(spark):
+    return pii.fit(spark.createDataFrame(pii_rows(400), "doc_id long, text string"))
+
+
+def test_field(spark, odd, empty, field):
+    text = "mail bob@mail.example.com or 10.0.0.7 version 2.0"
+    ((base, spans),) = pii.all_spans([text], field)
+    assert base == plain_spans(text) and set(base) <= set(spans)
+    assert not any("2.0" == text[s:e] for s, e, _ in spans)
     found = pii.find(odd, field, tuple(c for c in odd.columns if c != "text"), redact=True).collect()
     assert len(found) == odd.count() and pii.find(empty, field).count() == 0
     assert pii.redacted("a b@c.de f", [(2, 8, 0)]) == "a [EMAIL] f"
-    assert pii.fit(docs.limit(0)) is None and pii.all_spans("1.2.3.4", None)[0] == [(0, 7, 1)]
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert pii.fit(none) is None and pii.all_spans(["1.2.3.4"], None)[0][0] == [(0, 7, 1)]
+
+
+@pytest.mark.parametrize("intact, repeat", [("bob.s7@mail.example.com", "bob.s7(at)mail.example.com"), ("10.20.0.7", "10.20.0.x"), ("4524132264652876", "4524_1322_6465_2876"), ("4524132264652876", "452413x264652876")])
+def test_broken_repeats_are_found_through_their_skip_link_alone(field, intact, repeat):
+    text = f"{prose(3, 20)} {intact} {prose(4, 200)} {repeat} {prose(5, 20)}"
+    at = text.index(repeat)
+    cut = pii.Field(field.weights, np.concatenate([field.pair[:1], np.zeros_like(field.pair[1:])]))
+
+    def added(t, f):
+        ((base, spans),) = pii.all_spans([t], f)
+        return [s[:2] for s in spans if s not in base]
+
+    assert added(text, field) == [(at, at + len(repeat))]
+    assert added(text, cut) == [] and added(text.replace(intact, "word"), field) == []
+
+
+def test_entities_side_by_side_are_told_apart(field):
+    text = f"{prose(3, 20)} 4524132264652876 4524132264652876 {prose(4, 20)}"
+    ((base, spans),) = pii.all_spans([text], field)
+    assert base == [] and [(text[s:e], k) for s, e, k in spans] == [("4524132264652876 4524132264652876", 2)]
 
 
 def test_skip_links_pull_labels_together():
     """A weak mention of a token is pulled to the label of its strong repeat."""
-    field = pii.Field(np.zeros((pii.FEATURES, 5)), np.zeros((5, 5)), np.eye(5) * 2 - 0.5)
+    pair = np.zeros((pii.LINKS, 5, 5))
+    pair[pii.SAME] = np.eye(5) * 2 - 0.5
+    field = pii.Field(np.zeros((pii.FEATURES, 5)), pair)
     field.weights[35, 1] = 4.0  # the token before has a digit
-    text = "x 12345 99.7 here and far away again 99.7 end"
-    g = pii.graph(text)
-    assert g.skip
-    linked, alone = field.marginals(g), pii.Field(field.weights, field.chain, np.zeros((5, 5))).marginals(g)
+    g = pii.graph("x 12345 99.7 here and far away again 99.7 end", [])
+    assert (1, 2, pii.SAME) in g.links
+    (linked,), (alone,) = field.marginals([g]), pii.Field(field.weights, pair * 0).marginals([g])
     assert linked[-1, 1] > alone[-1, 1] + 0.1
 
 
+def test_messages_are_exact_on_trees():
+    """On a chain of three nodes beliefs are the marginals of all labellings; several graphs at once don't mix."""
+    rng = np.random.default_rng(8)
+    field = pii.Field(rng.normal(size=(pii.FEATURES, 5)), rng.normal(size=(pii.LINKS, 5, 5)))
+    g = pii.graph("10.0.0.7 +12 9@x", [])
+    assert [x[2] for x in g.links] == [0, 0]
+    u = np.array([field.weights[a].sum(0) for a in g.active])
+    joint = np.exp(u[0][:, None, None] + u[1][None, :, None] + u[2][None, None, :] + field.pair[0][:, :, None] + field.pair[0][None])
+    joint /= joint.sum()
+    one, two = field.marginals([g, g], turns=60)
+    assert np.allclose(one, np.stack([joint.sum((1, 2)), joint.sum((0, 2)), joint.sum((0, 1))]), atol=1e-4) and np.allclose(one, two, atol=1e-5)
+
+
+def test_weights_are_learned_together():
+    """Gradients of the fitted field: expected and real counts of links agree on what it was fitted on."""
+    rows = [t for _, t in pii_rows(120)]
+    found = [pii.base_spans(t) for t in rows]
+    pool = [(t[s:e], k) for t, b in zip(rows, found, strict=True) for s, e, k in b]
+    graphs = [x for i, (t, b) in enumerate(zip(rows, found, strict=True)) for x in pii.noised(t, b, pool, np.random.default_rng(i))]
+    f = pii.Field.fit(graphs)
+    s = pii.Sample.of(graphs)
+    p = np.concatenate(f.marginals([g for g, _ in graphs]))
+    assert (p.argmax(1) == s.label).mean() > 0.93
+    assert abs(f.pair[pii.CHARACTERS]).max() > 0.5 and np.allclose(f.pair[1:], f.pair[1:].transpose(0, 2, 1))
+
+
+def test_pii_query(spark, sf):
+    """All columns against the patterns written out plainly; further spans only where no base span is touched."""
+    names = ["email", "ip", "card", "phone"]
+    text = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = pii.op7_skip_chain_pii(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(text)
+    for r in rows:
+        base = plain_spans(text[r.doc_id])
+        listed = [f"{names[k]}:{s}:{e}" for s, e, k in base]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == i for _, _, k in base) for i in range(4)]
+        assert r.base_sha256 == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        spans = [x.split(":") for x in r.spans.split(",") if x]
+        assert set(listed) <= set(r.spans.split(",")) or not listed
+        order = [(int(s), names.index(k)) for k, s, _ in spans]
+        assert order == sorted(order)
+        for k, s, e in spans:
+            if f"{k}:{s}:{e}" not in listed:
+                assert not any(a < int(e) and int(s) < b for a, b, _ in base)
+
+
 # ---------------------------------------------------------------- licenses
 
 
