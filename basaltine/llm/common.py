@@ -2,32 +2,56 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 # ---------------------------------------------------------------- shared folder
 
+#: Folders made within each open ``scope``, innermost last.
+_scopes: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where the setting is absent (tests, local mode) is a local folder made and set.
+    Where the setting is absent, a local folder is made in local mode; on a cluster that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = getattr(spark.sparkContext, "_basaltine_shared", None)
+        base = getattr(context, "_basaltine_shared", None)
         if base is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             base = "file://" + tempfile.mkdtemp(prefix="basaltine-")
-            spark.sparkContext._basaltine_shared = base
-    return f"{base.rstrip('/')}/basaltine-{uuid.uuid4().hex}"
+            context._basaltine_shared = base
+    path = f"{base.rstrip('/')}/basaltine-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scope(spark: SparkSession):
+    """Shared folders made within are deleted at the end; nothing that reads them may go on."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
 
 
 def written(df: DataFrame, path: str | None = None, **options) -> DataFrame:
@@ -35,7 +59,15 @@ def written(df: DataFrame, path: str | None = None, **options) -> DataFrame:
     spark = df.sparkSession
     path = path or shared_dir(spark)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folder_written = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete the folders of tables that ``written`` returned and that nothing reads any more."""
+    for t in tables:
+        remove(t.sparkSession, t.folder_written)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -67,13 +99,27 @@ def _lean(fn: Callable, keep: bool) -> Callable:
 
 
 def map_arrow(df: DataFrame, fn: Callable, schema, keep: bool = False) -> DataFrame:
-    """mapInArrow whose workers can import this package; with ``keep`` they keep what ``kept`` holds."""
-    env = df.sparkSession.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+    """mapInArrow whose workers have this package; with ``keep`` they keep what ``kept`` holds."""
+    _ship(df.sparkSession.sparkContext)
     return df.mapInArrow(_lean(fn, keep), schema)
 
 
+def _ship(context) -> None:
+    """Send this package's modules to the workers, once for a context."""
+    if getattr(context, "_basaltine_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="basaltine-modules-")  # the driver's own, from which it serves the file
+    atexit.register(shutil.rmtree, folder, True)
+    path, above = os.path.join(folder, "basaltine_modules.zip"), os.path.dirname(PACKAGE)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for at, _, names in sorted(os.walk(PACKAGE)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    z.write(os.path.join(at, name), os.path.relpath(os.path.join(at, name), above))
+    context.addPyFile(path)
+    context._basaltine_shipped = True
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 def _contracted(edges: DataFrame) -> DataFrame:
@@ -26,12 +26,21 @@ def components(links: DataFrame) -> DataFrame:
         near = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("up")))
         up = written(near.groupBy("node").agg(F.min("up").alias("up")))
         while True:
-            after = written(up.join(up.select(F.col("node").alias("up"), F.col("up").alias("top")), "up").select("node", "up", "top"))
-            up = after.select("node", F.col("top").alias("up"))
-            if after.where("top <> up").isEmpty():
+            after = written(up.join(up.select(F.col("node").alias("up"), F.col("up").alias("top")), "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+            dropped(up)
+            up = after
+            if up.where("moved").isEmpty():
                 break
-        labels = up.withColumnRenamed("up", "comp") if labels is None else written(labels.join(up.select(F.col("node").alias("comp"), "up"), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")))
+        if labels is None:
+            new = written(up.select("node", F.col("up").alias("comp")))
+        else:
+            new = written(labels.join(up.select(F.col("node").alias("comp"), "up"), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")))
+            dropped(labels)
+        labels = new
         ends = [up.select(F.col("node").alias(x), F.col("up").alias(f"{x}_up")) for x in "ab"]
-        edges = written(_contracted(edges.join(ends[0], "a").join(ends[1], "b").select(F.col("a_up").alias("a"), F.col("b_up").alias("b"))))
+        left = written(_contracted(edges.join(ends[0], "a").join(ends[1], "b").select(F.col("a_up").alias("a"), F.col("b_up").alias("b"))))
+        dropped(edges, up)
+        edges = left
         if edges.isEmpty():
+            dropped(edges)
             return labels

@@ -7,9 +7,13 @@ confirmed on full sets, links joined to components.
 
 Documents with equal sets are one class from the start. Pairs are never listed. Within a band's
 bucket, tasks compare short signatures and return only a spanning forest of the likely pairs; a
-bucket beyond ``LARGE`` members is taken as connected. The components of those forests are
-families. Each family's sets meet once, in blocks of bounded size where it is large, every pair of
-its sets is measured exactly, and again only a spanning forest of the links is returned.
+bucket beyond ``LARGE`` members is taken as connected, which only makes more to confirm. The components
+of those forests are families, and every link lies within one. A family's sets are measured exactly in
+blocks of bounded size: first each block with itself and with a few documents of the family (pivots) that
+come to all its blocks, which joins what is alike; then, of families of several blocks, what isn't in the
+largest component so far with all other components, where sizes allow a link at all. Sets that are
+joined already are never compared, so a family of copies costs about as much as its documents. Again only a
+spanning forest of the links is returned.
 
 Edge cases: null, empty or blank texts have an empty set and no links; texts with fewer words than
 a shingle are one shingle; repeated rows are copies; an empty table gives no rows; further
@@ -23,16 +27,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACED, blocks, map_arrow, mix, partitions, seeds, utf8, words, written
+from .common import SPACED, blocks, dropped, map_arrow, mix, partitions, ragged, seeds, utf8, words, written
 from .graph import components
 
 
 #: Members of a bucket, and documents and shingles of a block of a family, that meet in one task at most.
-LARGE, DOCS, SHINGLES = 2048, 1000, 1_000_000
+LARGE, DOCS, SHINGLES = 2048, 400, 1_000_000
+#: Documents of a family of several blocks that come to each of them, at most.
+PIVOTS = 16
 
 
 @dataclass(frozen=True)
@@ -132,21 +138,31 @@ def _signed(documents: DataFrame, settings: Settings, keep: tuple[str, ...]) ->
     return written(map_arrow(documents, sign, schema), compression="zstd")
 
 
-class _Forest:
-    """Union-find over small integers."""
+def _joined(n: int, root: np.ndarray, candidates, linked):
+    """Pairs (j, i), j < i, that join what was apart: a spanning forest of the links among n things.
 
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.root(x), self.root(y)
-        self.up[max(x, y)] = min(x, y)
-        return x != y
+    ``root`` names what is joined from the start. ``candidates(i)`` are those before i that it may be linked
+    with, ``linked(i, js)`` tells which of some it is. One of each component is asked first, then
+    only the others of components that i is still apart from.
+    """
+    out = []
+    for i in range(1, n):
+        js = candidates(i)
+        js = js[root[js] != root[i]]
+        if len(js) > 1:
+            heads = js[np.unique(root[js], return_index=True)[1]]
+            js = js[~np.isin(js, heads)]
+        else:
+            heads, js = js, js[:0]
+        for part in (heads, js):
+            part = part[root[part] != root[i]]
+            if not len(part):
+                continue
+            for j in part[linked(i, part)].tolist():
+                if root[j] != root[i]:
+                    out.append((j, i))
+                    root[root == root[j]] = root[i]
+    return out
 
 
 def _runs(batches, process):
@@ -167,7 +183,7 @@ def _runs(batches, process):
 
 
 def _families(members: DataFrame, settings: Settings) -> DataFrame:
-    """(key, row, n, sketch) by key to edges (a, b): a spanning forest of each bucket's likely pairs."""
+    """(key, row, n, sketch) by key to edges (a, b): a spanning forest of each bucket's likely pairs, whose pairs are never held together."""
     least = (settings.percent / 100 - settings.slack) * settings.values
 
     def process(t):
@@ -175,43 +191,41 @@ def _families(members: DataFrame, settings: Settings) -> DataFrame:
             return
         key, row, n = (t.column(i).to_numpy() for i in range(3))
         sketch = np.frombuffer(b"".join(t.column(3).to_pylist()), "<u2").reshape(len(key), -1)
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        sizes = np.diff(np.concatenate([starts, [len(key)]]))
-        xs, ys = [], []
+        cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        starts, sizes = cuts[:-1], np.diff(cuts)
 
-        def test(x, y):
+        def likely(x, y):
             good = 100 * np.minimum(n[x], n[y]) >= settings.percent * np.maximum(n[x], n[y])
-            x, y = x[good], y[good]
-            good = (sketch[x] == sketch[y]).sum(1) >= least
-            xs.append(x[good])
-            ys.append(y[good])
+            return good & ((sketch[x] == sketch[y]).view(np.uint8).sum(1, dtype=np.uint8 if settings.values < 256 else np.int64) >= least)
 
-        for size in np.unique(sizes[(sizes > 1) & (sizes <= 16)]).tolist():
+        pairs = []
+        for size in np.unique(sizes[(sizes > 1) & (sizes <= 8)]).tolist():  # small ones of a size together
             at = starts[sizes == size]
             for i in range(size):
                 for j in range(i):
-                    test(at + j, at + i)
-        for at, size in zip(starts[sizes > 16].tolist(), sizes[sizes > 16].tolist(), strict=True):
-            for i in range(1, size):
-                test(np.arange(at, at + i), np.full(i, at + i))
-        forest = _Forest(len(key))
-        pairs = [(x, y) for x, y in zip(np.concatenate(xs).tolist(), np.concatenate(ys).tolist(), strict=True) if forest.join(x, y)] if xs else []
-        if pairs:
-            x, y = np.array(pairs).T
-            yield pa.record_batch([pa.array(row[x]), pa.array(row[y])], ["a", "b"])
+                    good = at[likely(at + j, at + i)]
+                    pairs.append(np.stack([good + j, good + i], 1))
+        for at, size in zip(starts[sizes > 8].tolist(), sizes[sizes > 8].tolist(), strict=True):
+            found = _joined(size, np.arange(size), np.arange, lambda i, js, at=at: likely(at + js, at + i))
+            pairs.append(np.array(found, np.int64).reshape(-1, 2) + at)
+        pairs = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+        if len(pairs):
+            ends = np.unique(np.sort(row[pairs], 1), axis=0)
+            yield pa.record_batch([pa.array(np.ascontiguousarray(ends[:, i])) for i in range(2)], ["a", "b"])
 
     return map_arrow(members.repartition(partitions(members.sparkSession), "key").sortWithinPartitions("key"), lambda batches: _runs(batches, process), "a long, b long")
 
 
 def _linked(groups: DataFrame, settings: Settings) -> DataFrame:
-    """(gid, side, row, text) by gid to links (a, b): a spanning forest of each group's exact links.
+    """(gid, side, label, row, text) by gid to links (a, b) of labels: a spanning forest of each group's exact links.
 
-    Side 0 is compared with itself; sides 1 and 2 with each other.
+    Rows of one label are joined from the start. Sides below 1 are compared with each other, else side 2 with side 1.
     """
 
     def process(t):
-        gid, side, row = (t.column(i).to_numpy() for i in range(3))
-        data, offsets = utf8(t.column(3).chunk(0) if isinstance(t.column(3), pa.ChunkedArray) else t.column(3))
+        gid, side, label = (t.column(i).to_numpy() for i in range(3))
+        text = t.column(4)
+        data, offsets = utf8(text.chunk(0) if isinstance(text, pa.ChunkedArray) else text)
         sets, at = [], [0]
         for a, b in blocks(offsets):
             s, first = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], settings.shingle)
@@ -223,19 +237,22 @@ def _linked(groups: DataFrame, settings: Settings) -> DataFrame:
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             ids = np.unique(sets[at[a] : at[b]], return_inverse=True)[1]
             first, n = at[a:b] - at[a], np.diff(at[a : b + 1])
-            forest, flag = _Forest(b - a), np.zeros(int(ids.max(initial=0)) + 1, bool)
-            for i in range(1, b - a):  # with all before it, at once
-                low = 0 if side[a + i] == 0 else int(np.searchsorted(side[a:b], 1))
-                high = i if side[a + i] == 0 else int(np.searchsorted(side[a:b], 2)) if side[a + i] == 2 else 0
-                if high <= low:
-                    continue
+            flag, split = np.zeros(int(ids.max(initial=0)) + 1, bool), int(np.searchsorted(side[a:b], 2))
+
+            def candidates(i, n=n, split=split, mixed=side[a] < 1):
+                js = np.arange(i if mixed else split if i >= split else 0)
+                return js[100 * np.minimum(n[js], n[i]) >= settings.percent * np.maximum(n[js], n[i])]
+
+            def linked(i, js, ids=ids, first=first, n=n, flag=flag):
                 mine = ids[first[i] : first[i] + n[i]]
                 flag[mine] = True
-                common = np.add.reduceat(flag[ids[first[low] : first[high - 1] + n[high - 1]]], first[low:high] - first[low], dtype=np.int64)
+                edges = np.cumsum(n[js]) - n[js]
+                common = np.add.reduceat(flag[ids[ragged(first[js], n[js])]], edges, dtype=np.int64)
                 flag[mine] = False
-                for j in np.flatnonzero(100 * common >= settings.percent * (n[i] + n[low:high] - common)).tolist():
-                    if forest.join(low + j, i):
-                        out.append((row[a + low + j], row[a + i]))
+                return 100 * common >= settings.percent * (n[i] + n[js] - common)
+
+            root = np.unique(label[a:b], return_inverse=True)[1]
+            out += [(label[a + j], label[a + i]) for j, i in _joined(b - a, root, candidates, linked)]
         if out:
             x, y = np.array(out).T
             yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
@@ -244,18 +261,68 @@ def _linked(groups: DataFrame, settings: Settings) -> DataFrame:
     return map_arrow(groups.repartition(many, "gid").sortWithinPartitions("gid", "side", "row"), lambda batches: _runs(batches, process), "a long, b long")
 
 
-def _grouped(families: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(node, comp) and (row, n) to (row, gid, side): a group for a family, or for each pair of blocks of a large one."""
+def _parts() -> F.Column:
+    """How many blocks the rows (n) of a group make."""
+    return F.greatest(F.ceil(F.count(F.lit(1)) / DOCS), F.ceil(F.sum("n") / SHINGLES)).cast("int")
+
+
+def _block(parts: str) -> F.Column:
+    return F.pmod(F.xxhash64("row"), F.col(parts)).cast("int")
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    """(comp, row, n, parts) to (gid, side, label, row): a group for each block of a family, with the family's pivots."""
+    few = F.least(F.lit(PIVOTS), F.greatest(F.lit(1), F.floor(SHINGLES / 4 / F.col("n"))))
+    nth = F.row_number().over(Window.partitionBy("comp").orderBy(F.xxhash64("row", F.lit(3)), "row"))
+    ranked = rows.where("parts > 1").withColumn("nth", nth).where(F.col("nth") <= PIVOTS)
+    pivots = ranked.where(F.col("nth") <= few).select("row", "comp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), F.lit(-1).alias("side"))
+    own = rows.select("row", "comp", _block("parts").alias("block"), F.lit(0).alias("side"))
+    return pivots.unionByName(own).groupBy("row", "comp", "block").agg(F.min("side").alias("side")).select(F.xxhash64("comp", "block").alias("gid"), "side", F.col("row").alias("label"), "row")
+
+
+def _regrouped(rows: DataFrame, settings: Settings) -> DataFrame:
+    """(comp, row, n, label) of families of several blocks to (gid, side, label, row): what isn't in its family's largest component, with all else.
+
+    Sizes are dealt into classes; linked sets are of one class or of neighbours.
+    """
+    sizes = rows.groupBy("comp", "label").agg(F.count(F.lit(1)).alias("size"))
+    main = sizes.groupBy("comp").agg(F.max(F.struct("size", "label"))["label"].alias("main"))
+    wide = float(np.log(100 / settings.percent) * (1 + 1e-9)) if settings.percent < 100 else 1e-9
+    rows = rows.join(main, "comp").withColumn("cls", F.floor(F.log("n") / wide))
+
+    def dealt(x: DataFrame, parts: str) -> tuple[DataFrame, DataFrame]:
+        many = x.groupBy("comp", "cls").agg(_parts().alias(parts))
+        return x.join(many, ["comp", "cls"]).withColumn("block", _block(parts)), many.withColumnRenamed("cls", "other")
+
+    (few, few_parts), (all_, all_parts) = dealt(rows.where("label <> main"), "few_parts"), dealt(rows, "all_parts")
+    near = F.abs(F.col("cls") - F.col("other")) <= 1
+    few = few.join(all_parts, "comp").where(near).select("row", "label", "comp", "cls", "block", F.col("other").alias("cls2"), F.explode(F.sequence(F.lit(0), F.col("all_parts") - 1)).alias("block2"), F.lit(1).alias("side"))
+    all_ = all_.join(few_parts, "comp").where(near).select("row", "label", "comp", F.col("other").alias("cls"), F.explode(F.sequence(F.lit(0), F.col("few_parts") - 1)).alias("block"), F.col("cls").alias("cls2"), F.col("block").alias("block2"), F.lit(2).alias("side"))
+    return few.unionByName(all_).select(F.xxhash64("comp", "cls", "block", "cls2", "block2").alias("gid"), "side", "label", "row")
+
+
+def _confirmed(signed: DataFrame, families: DataFrame, sizes: DataFrame, settings: Settings) -> DataFrame:
+    """(node, comp) of families and (row, n) to (node, comp) of exact components."""
     rows = families.select(F.col("node").alias("row"), "comp").hint("merge").join(sizes, "row")
-    parts = F.greatest(F.ceil(F.count(F.lit(1)) / DOCS), F.ceil(F.sum("n") / SHINGLES)).cast("int")
-    rows = rows.join(rows.groupBy("comp").agg(parts.alias("parts")), "comp")
-    # Blocks i <= j meet in group (comp, i, j): a document of block k is in those with i = k or j = k.
-    own = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    rows = rows.select("row", "comp", own.alias("own"), other.alias("other"))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    return rows.select("row", F.xxhash64("comp", low, high).alias("gid"), side.alias("side"))
+    rows = written(rows.join(rows.groupBy("comp").agg(_parts().alias("parts")), "comp"))
+
+    def measured(groups: DataFrame) -> DataFrame:
+        kept = written(groups)
+        texts = signed.select("row", "text").hint("merge").join(kept, "row").select("gid", "side", "label", "row", "text")
+        out = components(_linked(texts, settings))
+        dropped(kept)
+        return out
+
+    labels = measured(_grouped(rows))
+    large = rows.where("parts > 1").select("comp", "row", "n").hint("merge").join(labels.select(F.col("node").alias("row"), F.col("comp").alias("label")), "row", "left")
+    large = written(large.withColumn("label", F.coalesce("label", "row")))
+    if not large.isEmpty():
+        more = measured(_regrouped(large, settings)).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+        single = more.join(labels.select("comp"), "comp", "left_anti").select(F.col("comp").alias("node"), F.col("top").alias("comp"))
+        labels = labels.join(more, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")).unionByName(single)
+    labels = written(labels)
+    dropped(rows, large)
+    return labels
 
 
 def near_duplicates(documents: DataFrame, settings: Settings = Settings(), keep: tuple[str, ...] = ()) -> DataFrame:
@@ -277,14 +344,14 @@ def near_duplicates(documents: DataFrame, settings: Settings = Settings(), keep:
     few = members.where(F.col("size") <= LARGE).select("key", "row").hint("merge").join(reps.select("row", "n", "sketch"), "row").select("key", "row", "n", "sketch")
     many = members.where((F.col("size") > LARGE) & (F.col("row") != F.col("lowest"))).select(F.col("lowest").alias("a"), F.col("row").alias("b"))
     families = components(_families(few, settings).union(many))
-
-    groups = written(_grouped(families, reps.select("row", "n")))
-    texts = signed.select("row", "text").hint("merge").join(groups, "row").select("gid", "side", "row", "text")
-    labels = components(_linked(texts, settings))
+    dropped(members)
+    labels = _confirmed(signed, families, reps.select("row", "n"), settings)
+    dropped(reps, families)
 
     named = classes.select(F.col("rep").alias("node"), "least").join(labels, "node")
     named = named.join(named.groupBy("comp").agg(F.min("least").alias("lowest")), "comp").select(F.col("node").alias("rep"), "lowest")
-    named = classes.join(named, "rep", "left").select("digest", F.coalesce("lowest", "least").alias("lowest"))
+    named = written(classes.join(named, "rep", "left").select("digest", F.coalesce("lowest", "least").alias("lowest")))
+    dropped(classes, labels)
     more = [F.col("text")] + [F.col("rest")[c].alias(c) for c in keep] if keep else []
     rows = signed.select("row", "doc_id", "n", "digest", *(("text", "rest") if keep else ())).hint("merge").join(named, "digest", "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("lowest.doc_id", "doc_id").alias("component_id"), F.coalesce(F.col("lowest.row") == F.col("row"), F.lit(True)).alias("first"), *more)

@@ -48,11 +48,12 @@ def test_odd_rows(odd):
     assert all(r.first for r in got if r.n_shingles == 0)
 
 
-@pytest.mark.parametrize("large, docs", [(2048, 1000), (3, 7)])
-def test_family_with_edits(spark, monkeypatch, large, docs):
+@pytest.mark.parametrize("large, docs, pivots", [(2048, 400, 16), (3, 7, 2), (2048, 5, 1)])
+def test_family_with_edits(spark, monkeypatch, large, docs, pivots):
     """A family around a template with 0 to 40 % of edits: also where buckets and families are large."""
     monkeypatch.setattr(near_dup, "LARGE", large)
     monkeypatch.setattr(near_dup, "DOCS", docs)
+    monkeypatch.setattr(near_dup, "PIVOTS", pivots)
     rng = np.random.default_rng(3)
     base = prose(5, 120).split()
     rows = []
@@ -60,12 +61,44 @@ def test_family_with_edits(spark, monkeypatch, large, docs):
         w = list(base)
         for at in rng.choice(120, int(rng.integers(0, 12)), replace=False):
             w[at] = f"edit{i}x{at}"
-        rows.append((i, " ".join(w)))
+        rows.append((i, " ".join(w[: 120 - i // 4])))
     rows += [(100 + i, prose(50 + i, 80)) for i in range(20)]
     check(spark.createDataFrame(rows, "doc_id long, text string"), 85)
     check(spark.createDataFrame(rows, "doc_id long, text string"), 80)
 
 
+def test_chain_across_blocks(spark, monkeypatch):
+    """Each text drops the front of the one before: links are between neighbours only, and blocks are small."""
+    monkeypatch.setattr(near_dup, "DOCS", 4)
+    monkeypatch.setattr(near_dup, "PIVOTS", 1)
+    monkeypatch.setattr(near_dup, "LARGE", 2)
+    words = prose(9, 200).split()
+    words = [f"{w}{i}" for i, w in enumerate(words)]
+    rows = [(i, " ".join(words[4 * i : 4 * i + 60])) for i in range(30)] + [(50 + i, " ".join(words[10 * i : 10 * i + 60])) for i in range(12)]
+    for percent in (85, 95):
+        check(spark.createDataFrame(rows, "doc_id long, text string"), percent)
+
+
+def test_forest_joins_what_is_linked():
+    rng = np.random.default_rng(7)
+    for _ in range(40):
+        n = int(rng.integers(1, 30))
+        grid = rng.random((n, n)) < 0.08
+        grid |= grid.T
+        label = rng.integers(0, n, n) if rng.random() < 0.5 else np.arange(n)
+        start = np.unique(label, return_inverse=True)[1]
+        pairs = near_dup._joined(n, start.copy(), np.arange, lambda i, js, grid=grid: grid[i, js])
+        assert all(grid[i, j] for j, i in pairs) and len(pairs) < n
+
+        def named(edges, start=start, n=n):
+            up = start.copy()
+            for j, i in edges:
+                up[up == up[j]] = up[i]
+            return {frozenset(np.flatnonzero(up == u).tolist()) for u in up}
+
+        assert named(pairs) == named([(j, i) for i in range(n) for j in range(i) if grid[i, j]])
+
+
 def test_empty_and_kept_columns(empty, odd):
     assert near_dup.near_duplicates(empty).count() == 0
     kept = near_dup.near_duplicates(odd, keep=("lang", "row", "digest"))
