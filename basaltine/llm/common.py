@@ -13,7 +13,11 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -124,6 +128,58 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: A row number is the task that wrote the row, shifted by these bits, and its place in the task's output.
+ROW_BITS = 40
+#: Bytes of rows that a lookup puts out at once.
+_OUT = 8 << 20
+
+
+def looked_up(table: DataFrame, side: DataFrame) -> DataFrame:
+    """Inner join of a written ``table`` (row first) with a narrow ``side`` (row first, further columns), without a shuffle of the table.
+
+    The side is dealt to the table's parts and written, a folder for each; each task of the table reads the
+    folders of the parts it meets, one at a time, in the shared folder. So what travels is the side alone.
+    """
+    spark = table.sparkSession
+    folder = shared_dir(spark)
+    part = F.shiftright("row", ROW_BITS).alias("__part")
+    side.select("*", part).repartition(partitions(spark), "__part").sortWithinPartitions("__part", "row").write.partitionBy("__part").parquet(folder)
+    names = [*side.columns, *table.columns[1:]]
+
+    def beside(root, files, k: int) -> pa.Table | None:
+        found = files.get_file_info(fs.FileSelector(f"{root}/__part={k}", allow_not_found=True))
+        parts = [pq.read_table(files.open_input_file(f.path)) for f in found if f.base_name[0] not in "._"]
+        return pa.concat_tables(parts).sort_by("row").combine_chunks() if parts else None
+
+    types = [f for f in side.schema] + [f for f in table.schema][1:]
+
+    def run(batches):
+        files, root = fs.FileSystem.from_uri(folder)
+        at, here, rows = -1, None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.column(0).to_numpy()
+            of = own >> ROW_BITS
+            cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if of[a] != at:
+                    at = int(of[a])
+                    here = beside(root, files, at)
+                    rows = here and here.column(0).to_numpy()
+                if here is None:
+                    continue
+                low = np.searchsorted(rows, own[a:b])
+                many = np.searchsorted(rows, own[a:b], "right") - low
+                left, right = ragged(low, many), a + np.repeat(np.arange(b - a), many)
+                step = max(1, _OUT * batch.num_rows // max(1, batch.nbytes))
+                for x in range(0, len(left), step):
+                    mine, theirs = here.take(pa.array(left[x : x + step])).combine_chunks(), batch.take(pa.array(right[x : x + step]))
+                    yield pa.record_batch([c.chunk(0) for c in mine.columns] + theirs.columns[1:], names)
+
+    return map_arrow(table, run, T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, types, strict=True)]))
+
+
 # ---------------------------------------------------------------- text as bytes
 
 

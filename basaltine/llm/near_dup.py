@@ -31,14 +31,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACED, blocks, dropped, map_arrow, mix, partitions, ragged, seeds, utf8, words, written
+from .common import ROW_BITS, SPACED, blocks, dropped, looked_up, map_arrow, mix, partitions, ragged, seeds, utf8, words, written
 from .graph import components
 
 
 #: Members of a bucket, and documents and shingles of a block of a family, that meet in one task at most.
-LARGE, DOCS, SHINGLES = 2048, 400, 1_000_000
+LARGE, DOCS, SHINGLES = 2048, 128, 1_000_000
 #: Documents of a family of several blocks that come to each of them, at most.
-PIVOTS = 16
+PIVOTS = 8
 
 
 @dataclass(frozen=True)
@@ -111,7 +111,7 @@ def _signed(documents: DataFrame, settings: Settings, keep: tuple[str, ...]) ->
     documents = documents.select("doc_id", "text", F.struct(*keep, F.lit(0).alias("__none")).alias("rest"))
 
     def sign(batches):
-        part, row = TaskContext.get().partitionId() << 40, 0
+        part, row = TaskContext.get().partitionId() << ROW_BITS, 0
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for a, b in blocks(offsets):
@@ -270,18 +270,24 @@ def _block(parts: str) -> F.Column:
     return F.pmod(F.xxhash64("row"), F.col(parts)).cast("int")
 
 
+#: What tells a group of blocks that meet; of one of the blocks there may be none: it is each of the first ``many``.
+_GROUP = ("comp", "cls", "block", "cls2", "block2")
+_NONE = "cast(null as int)"
+
+
 def _grouped(rows: DataFrame) -> DataFrame:
-    """(comp, row, n, parts) to (gid, side, label, row): a group for each block of a family, with the family's pivots."""
+    """(comp, row, n, parts) to groups: each block of a family, with the family's pivots."""
     few = F.least(F.lit(PIVOTS), F.greatest(F.lit(1), F.floor(SHINGLES / 4 / F.col("n"))))
     nth = F.row_number().over(Window.partitionBy("comp").orderBy(F.xxhash64("row", F.lit(3)), "row"))
     ranked = rows.where("parts > 1").withColumn("nth", nth).where(F.col("nth") <= PIVOTS)
-    pivots = ranked.where(F.col("nth") <= few).select("row", "comp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), F.lit(-1).alias("side"))
-    own = rows.select("row", "comp", _block("parts").alias("block"), F.lit(0).alias("side"))
-    return pivots.unionByName(own).groupBy("row", "comp", "block").agg(F.min("side").alias("side")).select(F.xxhash64("comp", "block").alias("gid"), "side", F.col("row").alias("label"), "row")
+    pivots = ranked.where(F.col("nth") <= few).withColumns({"side": F.lit(-1), "block": F.expr(_NONE), "many": F.col("parts")})
+    own = rows.withColumns({"side": F.lit(0), "block": _block("parts"), "many": F.lit(1)})
+    zero = {"cls": F.lit(0).cast("long"), "cls2": F.lit(0).cast("long"), "block2": F.lit(0), "label": F.col("row")}
+    return pivots.drop("nth").unionByName(own).withColumns(zero).select("row", "label", "side", *_GROUP, "many")
 
 
 def _regrouped(rows: DataFrame, settings: Settings) -> DataFrame:
-    """(comp, row, n, label) of families of several blocks to (gid, side, label, row): what isn't in its family's largest component, with all else.
+    """(comp, row, n, label) of families of several blocks to groups: what isn't in its family's largest component, with all else.
 
     Sizes are dealt into classes; linked sets are of one class or of neighbours.
     """
@@ -290,37 +296,35 @@ def _regrouped(rows: DataFrame, settings: Settings) -> DataFrame:
     wide = float(np.log(100 / settings.percent) * (1 + 1e-9)) if settings.percent < 100 else 1e-9
     rows = rows.join(main, "comp").withColumn("cls", F.floor(F.log("n") / wide))
 
-    def dealt(x: DataFrame, parts: str) -> tuple[DataFrame, DataFrame]:
-        many = x.groupBy("comp", "cls").agg(_parts().alias(parts))
-        return x.join(many, ["comp", "cls"]).withColumn("block", _block(parts)), many.withColumnRenamed("cls", "other")
+    def dealt(x: DataFrame) -> tuple[DataFrame, DataFrame]:
+        blocks = x.groupBy("comp", "cls").agg(_parts().alias("parts"))
+        return x.join(blocks, ["comp", "cls"]).withColumn("own", _block("parts")).drop("parts"), blocks.select("comp", F.col("cls").alias("other"), F.col("parts").alias("many"))
 
-    (few, few_parts), (all_, all_parts) = dealt(rows.where("label <> main"), "few_parts"), dealt(rows, "all_parts")
+    (few, few_blocks), (every, every_blocks) = dealt(rows.where("label <> main")), dealt(rows)
     near = F.abs(F.col("cls") - F.col("other")) <= 1
-    few = few.join(all_parts, "comp").where(near).select("row", "label", "comp", "cls", "block", F.col("other").alias("cls2"), F.explode(F.sequence(F.lit(0), F.col("all_parts") - 1)).alias("block2"), F.lit(1).alias("side"))
-    all_ = all_.join(few_parts, "comp").where(near).select("row", "label", "comp", F.col("other").alias("cls"), F.explode(F.sequence(F.lit(0), F.col("few_parts") - 1)).alias("block"), F.col("cls").alias("cls2"), F.col("block").alias("block2"), F.lit(2).alias("side"))
-    return few.unionByName(all_).select(F.xxhash64("comp", "cls", "block", "cls2", "block2").alias("gid"), "side", "label", "row")
+    few = few.join(every_blocks, "comp").where(near).select("row", "label", F.lit(1).alias("side"), "comp", "cls", F.col("own").alias("block"), F.col("other").alias("cls2"), F.expr(_NONE).alias("block2"), "many")
+    every = every.join(few_blocks, "comp").where(near).select("row", "label", F.lit(2).alias("side"), "comp", F.col("other").alias("cls"), F.expr(_NONE).alias("block"), F.col("cls").alias("cls2"), F.col("own").alias("block2"), "many")
+    return few.unionByName(every)
+
+
+def _measured(signed: DataFrame, groups: DataFrame, settings: Settings) -> DataFrame:
+    """Groups to (node, comp) of labels by exact links within them."""
+    texts = looked_up(signed.select("row", "text"), groups).withColumn("nth", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+    whole = {c: F.coalesce(c, "nth") for c in ("block", "block2")}
+    return components(_linked(texts.withColumns(whole).select(F.xxhash64(*_GROUP).alias("gid"), "side", "label", "row", "text"), settings))
 
 
 def _confirmed(signed: DataFrame, families: DataFrame, sizes: DataFrame, settings: Settings) -> DataFrame:
     """(node, comp) of families and (row, n) to (node, comp) of exact components."""
     rows = families.select(F.col("node").alias("row"), "comp").hint("merge").join(sizes, "row")
     rows = written(rows.join(rows.groupBy("comp").agg(_parts().alias("parts")), "comp"))
-
-    def measured(groups: DataFrame) -> DataFrame:
-        kept = written(groups)
-        texts = signed.select("row", "text").hint("merge").join(kept, "row").select("gid", "side", "label", "row", "text")
-        out = components(_linked(texts, settings))
-        dropped(kept)
-        return out
-
-    labels = measured(_grouped(rows))
+    labels = _measured(signed, _grouped(rows), settings)
     large = rows.where("parts > 1").select("comp", "row", "n").hint("merge").join(labels.select(F.col("node").alias("row"), F.col("comp").alias("label")), "row", "left")
     large = written(large.withColumn("label", F.coalesce("label", "row")))
     if not large.isEmpty():
-        more = measured(_regrouped(large, settings)).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+        more = _measured(signed, _regrouped(large, settings), settings).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
         single = more.join(labels.select("comp"), "comp", "left_anti").select(F.col("comp").alias("node"), F.col("top").alias("comp"))
-        labels = labels.join(more, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")).unionByName(single)
-    labels = written(labels)
+        labels = written(labels.join(more, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")).unionByName(single))
     dropped(rows, large)
     return labels
 
@@ -331,7 +335,8 @@ def near_duplicates(documents: DataFrame, settings: Settings = Settings(), keep:
     component_id is the smallest doc_id reachable over links. ``first`` is true for one row of each
     component, also where doc_ids repeat, and for rows with an empty set.
 
-    Joins of sides that both grow with the documents are hinted to sort-merge, which splits hot keys.
+    Joins of sides that both grow with the documents are hinted to sort-merge, which splits hot keys. Texts
+    are never joined: narrow tables of what to do with them come to where they lie.
     """
     signed = _signed(documents, settings, keep)
     classes = written(signed.where("n > 0").groupBy("digest").agg(F.min("row").alias("rep"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")))
@@ -352,9 +357,12 @@ def near_duplicates(documents: DataFrame, settings: Settings = Settings(), keep:
     named = named.join(named.groupBy("comp").agg(F.min("least").alias("lowest")), "comp").select(F.col("node").alias("rep"), "lowest")
     named = written(classes.join(named, "rep", "left").select("digest", F.coalesce("lowest", "least").alias("lowest")))
     dropped(classes, labels)
-    more = [F.col("text")] + [F.col("rest")[c].alias(c) for c in keep] if keep else []
-    rows = signed.select("row", "doc_id", "n", "digest", *(("text", "rest") if keep else ())).hint("merge").join(named, "digest", "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("lowest.doc_id", "doc_id").alias("component_id"), F.coalesce(F.col("lowest.row") == F.col("row"), F.lit(True)).alias("first"), *more)
+    rows = signed.select("row", "doc_id", "n", "digest").hint("merge").join(named, "digest", "left")
+    rows = rows.select("row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("lowest.doc_id", "doc_id").alias("component_id"), F.coalesce(F.col("lowest.row") == F.col("row"), F.lit(True)).alias("first"))
+    if not keep:
+        return rows.drop("row")
+    whole = looked_up(signed.select("row", "text", "rest"), rows)
+    return whole.select("doc_id", "n_shingles", "component_id", "first", "text", *(F.col("rest")[c].alias(c) for c in keep))
 
 
 def op5_minmax_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
