@@ -3,33 +3,42 @@
 A vector is approximated by the sum of one code from each of several full-dimensional
 codebooks. Codebooks start as residual k-means and are then solved together by least squares on
 beam-search encodings of a bounded sample. The index stores the codes, the squared norm of the
-approximation and the vector. A search scores all distinct vectors by lookup tables (norm minus twice
-the sum of a query's products with the codes), and reranks the best of every chunk of rows exactly.
-Equal vectors of a chunk are one candidate, which stands for its smallest ids, and all vectors that
-score as the last candidate does are candidates too, so no tie is cut.
+approximation and the vector, dealt into buckets of a bounded number of rows by a hash of the id. A search
+scores all distinct vectors by lookup tables (norm minus twice the sum of a query's products with the codes),
+and measures the best of every bucket exactly, or all vectors on demand. Equal vectors of a bucket are
+one candidate, which stands for its smallest ids, and all vectors that score as the last
+candidate does are candidates too, so no tie is cut.
 
-Queries come in blocks of bounded size; each block is one pass over the index, whose tasks return
-at most k rows for a query.
+Queries are a table of blocks in the shared folder. The index is read once: a task holds a bounded number of
+its rows, reads block after block of queries, and returns at most k rows for a query. Neither
+vectors nor queries come to the driver, apart from the sample.
 
 Edge cases: vectors that are null, zero, hold null or non-finite components, or don't have the most
 frequent length take no part; a query doesn't find rows of its own id; equal distances go to the
-smaller id; with fewer candidates than k all are returned; empty tables give no rows; further
-columns are ignored.
+smaller id; with fewer candidates than k all are returned; components beyond 1e15 count as that in codes and
+tables, never in distances; empty tables give no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, written
+from .common import map_arrow, shared_dir, written
 
-#: Vectors that codebooks are fitted on, and queries in a block, at most (by expectation of a hash).
-SAMPLE, BLOCK = 8192, 2048
-#: Rows of which the best are reranked together.
-CHUNK = 4096
+#: Vectors that codebooks are fitted on, queries of a block and rows of a bucket, at most (by expectation of a hash).
+SAMPLE, BLOCK, BUCKET = 8192, 1024, 8192
+#: Bytes of index rows that a task holds.
+HOLD = 64 << 20
+
+
+def _single(x: np.ndarray) -> np.ndarray:
+    """Single precision, within what squares and sums of it can hold."""
+    return np.clip(x, -1e15, 1e15).astype(np.float32)
 
 
 class Quantiser:
@@ -41,7 +50,7 @@ class Quantiser:
 
     @classmethod
     def fit(cls, x: np.ndarray, books: int = 8, codes: int = 256, turns: int = 6, refine: int = 2, beam: int = 4, seed: int = 7) -> Quantiser:
-        x = x.astype(np.float32)
+        x = _single(x)
         codes = max(1, min(codes, len(x)))
         rng, rest, out = np.random.default_rng(seed), x.copy(), []
         for _ in range(books):
@@ -72,7 +81,7 @@ class Quantiser:
         """Codes by beam search: each step keeps the best sums of one more codebook."""
         out = np.zeros((len(x), len(self.codebooks)), np.uint8)
         for a in range(0, len(x), block):
-            rest = x[a : a + block, None, :].astype(np.float32)
+            rest = _single(x[a : a + block, None, :])
             n = len(rest)
             error = (rest**2).sum(-1)
             path = np.zeros((n, 1, 0), np.uint8)
@@ -106,52 +115,68 @@ def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
 
 
 def build(vectors: DataFrame, books: int = 8, beam: int = 8) -> tuple[DataFrame, Quantiser | None, int]:
-    """The index (vec_id, codes, norm, embedding) of all rows that take part, written to the shared folder."""
+    """The index (bucket, vec_id, codes, norm, embedding) of all rows that take part, written to the shared folder."""
     rows, dim = usable(vectors)
     many = rows.count()
     share = 1 << 20 if many <= SAMPLE else max(1, (SAMPLE << 20) // many)
     sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < share).orderBy("vec_id").select("embedding").toArrow()
+    buckets = max(1, -(-many // BUCKET))
+    bucket = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(buckets)).cast("int").alias("bucket")
     if not sample.num_rows:
-        return written(rows.select("vec_id", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).cast("float").alias("norm"), "embedding")), None, dim
+        return written(rows.select(bucket, "vec_id", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).cast("float").alias("norm"), "embedding")), None, dim
     fitted = rows.sparkSession.sparkContext.broadcast(Quantiser.fit(_matrix(sample.column(0).combine_chunks(), dim), books, beam=beam))
+    names = ["bucket", "vec_id", "codes", "norm", "embedding"]
 
     def encode(batches):
         q = fitted.value
         for batch in batches:
-            x = _matrix(batch.column(1), dim)
-            codes = q.encode(x, beam)
+            codes = q.encode(_matrix(batch.column(2), dim), beam)
             norm = (q.decode(codes) ** 2).sum(1).astype(np.float32)
-            yield pa.record_batch([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm), batch.column(1)], ["vec_id", "codes", "norm", "embedding"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm), batch.column(2)], names)
 
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("vec_id", "embedding"))
-    index = map_arrow(rows, encode, f"{kinds.split(', ')[0]}, codes binary, norm float, {kinds.split(', ')[1]}")
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("vec_id", "embedding")}
+    dealt = rows.select(bucket, "vec_id", "embedding").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    index = map_arrow(dealt, encode, f"bucket int, vec_id {kinds['vec_id']}, codes binary, norm float, embedding {kinds['embedding']}")
     return written(index), fitted.value, dim
 
 
-def search(index: DataFrame, quantiser: Quantiser | None, dim: int, queries: DataFrame, k: int = 10, rerank: int = 192) -> DataFrame:
+def search(index: DataFrame, quantiser: Quantiser | None, dim: int, queries: DataFrame, k: int = 10, rerank: int | None = 320) -> DataFrame:
     """(vec_id, embedding) queries to (query_id, rank, vec_id, score): the k nearest found.
 
-    Of every CHUNK rows of the index, each query's best ``rerank`` distinct vectors by lookup tables, and
-    those that tie with the last, are measured exactly.
+    Of every bucket of the index, each query's best ``rerank`` distinct vectors by lookup tables, and
+    those that tie with the last, are measured exactly; all of them if ``rerank`` is None.
     """
     spark = index.sparkSession
     if quantiser is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shared = spark.sparkContext.broadcast(quantiser)
+    folder = shared_dir(spark)
     parts = max(1, -(-queries.count() // BLOCK))
-    found = []
-    for p in range(parts):
-        block = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == p)
-        block = block.select(F.col("vec_id").cast("long"), "embedding").toArrow()
-        if block.num_rows:
-            found.append(map_arrow(index, _scan(shared, spark.sparkContext.broadcast((block.column(0).to_numpy(), _matrix(block.column(1).combine_chunks(), dim))), dim, k, rerank), "query_id long, vec_id long, score double"))
-    if not found:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = found[0]
-    for x in found[1:]:
-        rows = rows.union(x)
+    block = F.pmod(F.xxhash64("vec_id", F.lit(9)), F.lit(parts)).cast("int").alias("block")
+    queries.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", block).repartition(parts, "block").sortWithinPartitions("block").write.partitionBy("block").parquet(folder)
+    found = map_arrow(index.select("bucket", F.col("vec_id").cast("long").alias("vec_id"), "codes", "norm", "embedding"), _scan(spark.sparkContext.broadcast(quantiser), folder, dim, k, rerank), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _asked(folder: str, dim: int):
+    """Blocks of queries (ids, vectors) from the shared folder, one at a time."""
+    files, root = fs.FileSystem.from_uri(folder)
+    found = files.get_file_info(fs.FileSelector(root, recursive=True))
+    for path in sorted(f.path for f in found if f.path.endswith(".parquet")):
+        t = pq.read_table(files.open_input_file(path), columns=["vec_id", "embedding"]).combine_chunks()
+        if t.num_rows:
+            yield t.column(0).to_numpy(), _matrix(t.column(1).chunk(0), dim)
+
+
+def distances(vectors: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision, also where squares overflow."""
+    with np.errstate(over="ignore"):
+        apart = vectors - x
+        out = np.sqrt((apart**2).sum(1))
+    for i in np.flatnonzero(np.isinf(out)):
+        half = np.abs(vectors[i] / 2 - x / 2)
+        out[i] = half.max() * np.sqrt(((half / half.max()) ** 2).sum()) * 2
+    return out
 
 
 def _classes(vectors: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,53 +187,73 @@ def _classes(vectors: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return rows, np.searchsorted(kind[rows], np.arange(kind.max() + 2)), kind
 
 
-def _scan(quantiser, block, dim: int, k: int, rerank: int):
-    def scan(batches):
-        q, (ids, x) = quantiser.value, block.value
-        books, codes = q.codebooks.shape[:2]
-        lut = np.einsum("qd,mkd->mqk", x.astype(np.float32), q.codebooks)
-        near, far = np.full((len(ids), 0), 0, np.int64), np.zeros((len(ids), 0))
-
-        def add(cand: np.ndarray, dist: np.ndarray) -> None:
-            nonlocal near, far
-            near, far = np.concatenate([near, cand], 1), np.concatenate([far, dist], 1)
-            order = np.lexsort((near, far), axis=1)[:, :k]
-            near, far = np.take_along_axis(near, order, 1), np.take_along_axis(far, order, 1)
+class _Bucket:
+    """Rows of one bucket, by distinct vector."""
+
+    def __init__(self, rows: pa.RecordBatch | pa.Table, books: int, dim: int):
+        self.own, self.vectors = rows.column(1).to_numpy(), _matrix(rows.column(4), dim)
+        self.rows, self.first, self.kind = _classes(self.vectors, self.own)
+        self.head, self.size = self.rows[self.first[:-1]], np.diff(self.first)
+        self.code = np.frombuffer(b"".join(rows.column(2).to_pylist()), np.uint8).reshape(-1, books)[self.head]
+        self.norm = rows.column(3).to_numpy()[self.head]
+
+    def nearest(self, ids: np.ndarray, x: np.ndarray, lut: np.ndarray, k: int, rerank: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """For each query (a row) up to k ids and their distances; what is missing is at an infinite distance."""
+        score = np.broadcast_to(self.norm, (len(ids), len(self.head))).copy()
+        for m in range(len(lut)):
+            score -= 2 * lut[m][:, self.code[:, m]]
+        at, row = np.nonzero(ids[:, None] == self.own)
+        same = np.zeros(score.shape, np.int32)  # rows of the query's own id among each vector's
+        np.add.at(same, (at, self.kind[row]), 1)
+        score[same == self.size] = np.inf
+        keep = len(self.head) if rerank is None else min(rerank, len(self.head))
+        last = np.partition(score, keep - 1, axis=1)[:, keep - 1]
+        cand, dists = np.zeros((len(ids), k), np.int64), np.full((len(ids), k), np.inf)
+        for i in range(len(ids)):
+            best = np.flatnonzero((score[i] <= last[i]) & (score[i] < np.inf))
+            dist = distances(self.vectors[self.head[best]], x[i])
+            if len(best) > k + 1:  # beyond the k nearest other vectors, of which one may be the query's own
+                near = dist <= np.partition(dist, k)[k]
+                best, dist = best[near], dist[near]
+            many = np.minimum(self.size[best], k + same[i, best])
+            place = np.arange(many.sum()) + np.repeat(self.first[best] - np.cumsum(many) + many, many)
+            found, dist = self.own[self.rows[place]], np.repeat(dist, many)
+            other = found != ids[i]
+            found, dist = found[other], dist[other]
+            order = np.lexsort((found, dist))[:k]
+            cand[i, : len(order)], dists[i, : len(order)] = found[order], dist[order]
+        return cand, dists
+
+
+def _scan(quantiser, folder: str, dim: int, k: int, rerank: int | None):
+    def answers(held: list[pa.RecordBatch], q: Quantiser):
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        of = rows.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+        buckets = [_Bucket(rows.slice(a, b - a), len(q.codebooks), dim) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        for ids, x in _asked(folder, dim):
+            lut = np.einsum("qd,mkd->mqk", _single(x), q.codebooks, optimize=True)
+            near, far = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+            for bucket in buckets:
+                found = [bucket.nearest(ids[b : b + 128], x[b : b + 128], lut[:, b : b + 128], k, rerank) for b in range(0, len(ids), 128)]
+                near, far = (np.concatenate([old, np.concatenate(new)], 1) for old, new in zip((near, far), zip(*found, strict=True), strict=True))
+                order = np.lexsort((near, far), axis=1)[:, :k]
+                near, far = np.take_along_axis(near, order, 1), np.take_along_axis(far, order, 1)
+            some = np.isfinite(far)
+            if some.any():
+                yield pa.record_batch([pa.array(np.repeat(ids, some.sum(1))), pa.array(near[some]), pa.array(far[some])], ["query_id", "vec_id", "score"])
 
+    def scan(batches):
+        q, held, size = quantiser.value, [], 0
         for batch in batches:
-            for a in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(a, CHUNK)
-                own, vectors = part.column(0).to_numpy().astype(np.int64), _matrix(part.column(3), dim)
-                rows, first, kind = _classes(vectors, own)
-                head, size = rows[first[:-1]], np.diff(first)
-                code = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, books)[head]
-                norm = part.column(2).to_numpy()[head]
-                cand, dists = np.zeros((len(ids), k), np.int64), np.full((len(ids), k), np.inf)
-                for b in range(0, len(ids), 256):
-                    mine = ids[b : b + 256]
-                    score = np.broadcast_to(norm, (len(mine), len(head))).copy()
-                    for m in range(books):
-                        score -= 2 * lut[m, b : b + 256][:, code[:, m]]
-                    at, row = np.nonzero(mine[:, None] == own)
-                    same = np.zeros(score.shape, np.int32)  # rows of the query's own id among each vector's
-                    np.add.at(same, (at, kind[row]), 1)
-                    score[same == size] = np.inf
-                    keep = min(rerank, len(head))
-                    last = np.partition(score, keep - 1, axis=1)[:, keep - 1]
-                    for i in range(len(mine)):
-                        best = np.flatnonzero((score[i] <= last[i]) & (score[i] < np.inf))
-                        dist = np.sqrt(((vectors[head[best]] - x[b + i]) ** 2).sum(1))
-                        many = np.minimum(size[best], k + same[i, best])
-                        place = np.arange(many.sum()) + np.repeat(first[best] - np.cumsum(many) + many, many)
-                        found, dist = own[rows[place]], np.repeat(dist, many)
-                        other = found != mine[i]
-                        found, dist = found[other], dist[other]
-                        order = np.lexsort((found, dist))[:k]
-                        cand[b + i, : len(order)], dists[b + i, : len(order)] = found[order], dist[order]
-                add(cand, dists)
-        some = np.isfinite(far)
-        if some.any():
-            yield pa.record_batch([pa.array(np.repeat(ids, some.sum(1))), pa.array(near[some]), pa.array(far[some])], ["query_id", "vec_id", "score"])
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size >= HOLD:
+                yield from answers(held, q)
+                held, size = [], 0
+        if held:
+            yield from answers(held, q)
 
     return scan
 

@@ -359,15 +359,53 @@ def test_many_copies_keep_the_smallest_ids(spark):
 
 def test_equal_codes_are_not_cut():
     # One code for all rows, so that the lookup tables can't tell them apart.
-    class Held:
-        def __init__(self, value):
-            self.value = value
-
     x = np.arange(1.0, 1001.0)[:, None] * np.ones(4)
     ids = np.random.default_rng(6).permutation(1000)
-    rows = pa.record_batch([pa.array(ids), pa.array([b"\0"] * 1000, pa.binary()), pa.array(np.zeros(1000, np.float32)), pa.array(x.tolist())], ["vec_id", "codes", "norm", "embedding"])
-    (got,) = ann._scan(Held(ann.Quantiser(np.zeros((1, 1, 4)))), Held((np.array([5000]), np.full((1, 4), 500.2))), 4, 10, 192)(iter([rows]))
-    assert got.column(1).to_pylist() == [int(ids[i - 1]) for i in (500, 501, 499, 502, 498, 503, 497, 504, 496, 505)]
+    rows = pa.record_batch([pa.array(np.zeros(1000, np.int32)), pa.array(ids), pa.array([b"\0"] * 1000, pa.binary()), pa.array(np.zeros(1000, np.float32)), pa.array(x.tolist())], ["bucket", "vec_id", "codes", "norm", "embedding"])
+    near, far = ann._Bucket(rows, 1, 4).nearest(np.array([5000]), np.full((1, 4), 500.2), np.zeros((1, 1, 256), np.float32), 10, 192)
+    assert near[0].tolist() == [int(ids[i - 1]) for i in (500, 501, 499, 502, 498, 503, 497, 504, 496, 505)] and abs(far[0, 0] - 0.4) < 1e-9
+
+
+def exact(x, ids, q, k=10):
+    with np.errstate(over="ignore"):
+        dist = ann.distances(x, x[list(ids).index(q)])
+    order = np.lexsort((ids, dist))
+    return [(int(ids[i]), float(dist[i])) for i in order if ids[i] != q][:k]
+
+
+def test_all_vectors_on_demand_is_brute_force(spark, monkeypatch):
+    """Without a bound on candidates a search is exact, over several buckets, blocks of queries and held parts."""
+    for name, value in (("BUCKET", 100), ("BLOCK", 7), ("HOLD", 30_000)):
+        monkeypatch.setattr(ann, name, value)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(700, 8)).round(1)
+    x[100:160] = x[99]
+    x[200], x[201] = 1e200, -1e200
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    index, quantiser, dim = ann.build(df, books=2)
+    assert index.select("bucket").distinct().count() == 7
+    asked = [*range(0, 700, 50), 99, 201]
+    got = ann.search(index, quantiser, dim, index.where(F.col("vec_id").isin(asked)), rerank=None).collect()
+    for q in asked:
+        mine = sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == q)
+        assert [(v, s) for _, v, s in mine] == [(v, pytest.approx(s, rel=1e-12)) for v, s in exact(x, np.arange(700), q)]
+
+
+def test_neighbours_query(spark, sf):
+    """The query against brute force on its whole table: exact scores, and recall."""
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect() if r.vec_id is not None and r.embedding]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+    got = ann.op10_additive_ann(spark, sf).collect()
+    hit = 0
+    asked = [int(i) for i in ids if i % 100 == 0]
+    for q in asked:
+        mine = sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == q)
+        want = exact(x, ids, q)
+        assert [m[0] for m in mine] == list(range(1, len(want) + 1))
+        dist = dict(zip(ids.tolist(), ann.distances(x, x[list(ids).index(q)]).tolist(), strict=True))
+        assert all(s == dist[v] for _, v, s in mine)
+        hit += len({v for _, v, _ in mine} & {v for v, _ in want})
+    assert hit >= 0.9 * 10 * len(asked)
 
 
 def test_few_and_no_vectors(spark):
