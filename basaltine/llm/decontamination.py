@@ -1,8 +1,8 @@
 """Benchmark decontamination by an FM-index for each shard of the training documents.
 
 A shard is a run of documents of one task, as word ids of the benchmark's vocabulary; any other
-word, and a document's end, separates. Test phrases (windows of consecutive item words) are searched
-backward through the shard's wavelet ranks, occurrences are located by sampled suffix positions,
+word, and a document's end, separates. Test phrases (windows of consecutive item words), where the shard
+has all their pairs of neighbouring words, are searched backward through its wavelet ranks, occurrences are located by sampled suffix positions,
 and their spans merged per document.
 
 The test side is the only thing sent to the tasks. It goes in blocks of at most ``BLOCK`` bytes of
@@ -21,40 +21,75 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, blocks, map_arrow, ragged, utf8, words
+from .common import ALNUM, blocks, map_arrow, mix, ragged, seeds, utf8, words
 from .fm_index import FMIndex
 
 #: Bytes of benchmark text in one pass.
-BLOCK = 16 << 20
+BLOCK = 6 << 20
 #: Words of a shard, apart from a longer document.
 SHARD = 1_000_000
 
 _SPANS = "array<struct<start:long,end:long>>"
 
 
+def _first_of(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each phrase (a run of ids) the number of its distinct phrase, numbered from 0."""
+    first, second = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
+    for j, (k, m) in enumerate(zip(seeds(int(lengths.max(initial=0)), 41), seeds(int(lengths.max(initial=0)), 43), strict=True)):
+        word = np.where(lengths > j, ids[np.minimum(starts + j, len(ids) - 1)], 0).astype(np.uint64)
+        first += mix(word) * k
+        second += mix(word ^ np.uint64(0xABCDEF)) * m
+    order = np.lexsort((second, first))
+    new = np.ones(len(order), bool)
+    new[1:] = (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new) - 1
+    return out
+
+
 class Phrases:
-    """Test phrases over the benchmark's own vocabulary."""
-
-    def __init__(self, items: list[tuple[int, str]], window: int):
-        data, offsets = utf8(pa.array([t for _, t in items], pa.string()))
-        h, _, _, first = words(data, offsets, ALNUM)
-        self.vocabulary = np.unique(h)
-        ids = np.searchsorted(self.vocabulary, h) + 1
-        found: dict[tuple, int] = {}
-        pairs = set()
-        for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-            w = ids[a:b].tolist()
-            for j in range(max(1, len(w) - window + 1) if w else 0):
-                pairs.add((found.setdefault(tuple(w[j : j + window]), len(found)), items[k][0]))
-        self.lengths = np.array([len(p) for p in found], np.int64)
-        self.patterns = np.zeros((len(found), window), np.int64)
-        for p, j in found.items():
-            self.patterns[j, : len(p)] = p
-        pairs = sorted(pairs)
-        self.items = np.array([i for _, i in pairs], np.int64)
-        self.first_item = np.searchsorted(np.array([p for p, _ in pairs], np.int64), np.arange(len(found) + 1))
+    """Test phrases over the benchmark's own vocabulary: runs of the items' word ids, each distinct run once."""
+
+    def __init__(self, item_ids: np.ndarray, texts: pa.Array, window: int):
+        h, _, _, first = words(*utf8(texts), ALNUM)
+        self.vocabulary, ids = np.unique(h, return_inverse=True)
+        self.text = ids.astype(np.int32) + 1
+        n = np.diff(first)
+        many = np.where(n > 0, np.maximum(n - window + 1, 1), 0)
+        starts, owner = ragged(first[:-1], many), np.repeat(np.arange(len(n)), many)
+        lengths = np.minimum(n[owner], window)
+        which = _first_of(self.text, starts, lengths) if len(starts) else starts
+        _, at = np.unique(which, return_index=True)
+        self.starts, self.lengths = starts[at], lengths[at]
+        item = np.asarray(item_ids, np.int64)[owner]
+        order = np.lexsort((item, which))
+        which, item = which[order], item[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (which[1:] != which[:-1]) | (item[1:] != item[:-1])
+        self.items = item[new]
+        self.first_item = np.searchsorted(which[new], np.arange(len(at) + 1))
         self.shortest = int(self.lengths.min(initial=window))
 
+    def patterns(self, some: np.ndarray) -> np.ndarray:
+        """Left-aligned rows of the ids of some phrases."""
+        width = int(self.lengths[some].max(initial=0))
+        at = self.starts[some, None] + np.arange(width)
+        return np.where(np.arange(width) < self.lengths[some, None], self.text[np.minimum(at, len(self.text) - 1)], 0).astype(np.int64)
+
+    def possible(self, text: np.ndarray) -> np.ndarray:
+        """Phrases all of whose neighbouring words (or single words) are neighbours in a text, too: only they can occur there."""
+        wide = np.int64(len(self.vocabulary) + 1)
+
+        def missing(of: np.ndarray, known: np.ndarray) -> np.ndarray:
+            at = np.minimum(np.searchsorted(known, of), max(len(known) - 1, 0))
+            gone = known[at] != of if len(known) else np.ones(len(of), bool)
+            return np.concatenate([[0], np.cumsum(gone)])
+
+        one = missing(self.text.astype(np.int64), np.unique(text))
+        two = missing(self.text[:-1] * wide + self.text[1:], np.unique(text[:-1] * wide + text[1:]))
+        end = self.starts + self.lengths
+        return np.flatnonzero((one[end] == one[self.starts]) & (two[np.maximum(end - 1, self.starts)] == two[self.starts]))
+
     def ids(self, h: np.ndarray) -> np.ndarray:
         """Word ids of hashes, 0 for words that no item has."""
         if not len(self.vocabulary):
@@ -81,10 +116,13 @@ class Phrases:
         stops = np.cumsum(sizes + 1) - 1
         text = ids[np.minimum(place, n - 1)]
         text[stops] = 0
+        some = self.possible(text)
+        if not len(some):
+            return hit[:n] > 0, none, none
         index = FMIndex(text, len(self.vocabulary))
-        low, high = index.search(self.patterns, self.lengths)
+        low, high = index.search(self.patterns(some), self.lengths[some])
         many = high - low
-        phrase = np.repeat(np.arange(len(many)), many)
+        phrase = np.repeat(some, many)
         at = place[index.locate(ragged(low, many))]
         np.add.at(hit, at, 1)
         np.add.at(hit, at + self.lengths[phrase], -1)
@@ -167,7 +205,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10,
     found = []
     for k in range(parts):
         block = benchmark if parts == 1 else benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k)
-        found.append(_pass(documents, Phrases([tuple(r) for r in block.collect()], window), keep is not None and k == 0))
+        items = block.toArrow()  # at most about ``BLOCK`` bytes of text
+        found.append(_pass(documents, Phrases(items.column(0).to_numpy(), pa.concat_arrays([pa.array([], pa.string()), *items.column(1).chunks]), window), keep is not None and k == 0))
     out = found[0]
     if parts > 1:
         for x in found[1:]:
