@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, shared_dir, written
+from .common import chosen, map_arrow, shared_dir, written
 
 #: Vectors that codebooks are fitted on, queries of a block and rows of a bucket, at most (by expectation of a hash).
 SAMPLE, BLOCK, BUCKET = 8192, 1024, 8192
@@ -118,8 +118,7 @@ def build(vectors: DataFrame, books: int = 8, beam: int = 8) -> tuple[DataFrame,
     """The index (bucket, vec_id, codes, norm, embedding) of all rows that take part, written to the shared folder."""
     rows, dim = usable(vectors)
     many = rows.count()
-    share = 1 << 20 if many <= SAMPLE else max(1, (SAMPLE << 20) // many)
-    sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < share).orderBy("vec_id").select("embedding").toArrow()
+    sample = rows.where(chosen("vec_id", min(1.0, SAMPLE / max(1, many)))).orderBy("vec_id").select("embedding").toArrow()
     buckets = max(1, -(-many // BUCKET))
     bucket = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(buckets)).cast("int").alias("bucket")
     if not sample.num_rows:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,6 +124,11 @@ def _ship(context) -> None:
     context._basaltine_shipped = True
 
 
+def chosen(key: str, share: float | Column) -> Column:
+    """Whether a row is in a sample of a share of all rows, by a hash of its key; the sample is bounded by expectation."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << 40)) < F.ceil(F.lit(share) * (1 << 40) if isinstance(share, float) else share * (1 << 40))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,7 +5,8 @@ there, or a penalty where the language lacks it. An unseen word is scored by its
 of the highest order of which any is known, on average. A document's score is the mean of its words'.
 
 Words are runs of ASCII letters and characters beyond ASCII; A-Z count as a-z. Models hold hashes
-and log frequencies, at most ``vocabulary`` words and ``grams`` n-grams of an order for each language.
+and, for each, the languages that have it with their log frequencies: all words and n-grams of a sample of
+labelled texts, which is bounded in rows and bytes for each language, so that a rare language is learned, too.
 
 Edge cases: texts that are null or have no letter are ``und`` with score 0; without any training
 row all are ``und``; equal scores go to the first language by name; repeated rows stay; an empty
@@ -22,10 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LETTERS, blocks, map_arrow, mix, ragged, seeds, utf8, words, written
+from .common import LETTERS, blocks, chosen, map_arrow, mix, ragged, seeds, utf8, words
 
-#: Labelled rows that a model is fitted on, at most (by expectation of a hash).
-FIT_ROWS = 12_000
+#: Labelled rows that a model is fitted on and bytes of their texts, at most, shared evenly by the languages, and
+#: rows of a language that it may have in any case (all by expectation of a hash).
+FIT_ROWS, FIT_BYTES, FIT_LEAST = 12_000, 32 << 20, 200
 ORDERS = (5, 4, 3, 2, 1)
 
 
@@ -73,40 +75,70 @@ def lettered(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+@dataclass
+class Level:
+    """Words or n-grams of an order: sorted hashes, for each the languages that have it, and how far their score is above that of lacking it."""
+
+    hashes: np.ndarray
+    first: np.ndarray
+    lang: np.ndarray
+    gain: np.ndarray
+    base: float
+
+    def entries(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in ``at``, language, gain) of all entries of some hashes."""
+        many = self.first[at + 1] - self.first[at]
+        k = ragged(self.first[at], many)
+        return np.repeat(np.arange(len(at)), many), self.lang[k].astype(np.int64), self.gain[k]
+
+
+#: Entries that are summed at once.
+_ENTRIES = 4_000_000
+
+
 @dataclass
 class Model:
-    """For order 0 (words) and each n-gram order: sorted hashes and scores, hashes x languages."""
+    """Level 0 is of words, the others of n-grams."""
 
     languages: list[str]
-    hashes: dict[int, np.ndarray]
-    scores: dict[int, np.ndarray]
+    levels: dict[int, Level]
 
     def find(self, order: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        known = self.hashes[order]
+        known = self.levels[order].hashes
         if not len(known):
             return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
         at = np.minimum(np.searchsorted(known, h), len(known) - 1)
         return at, known[at] == h
 
-    def word_scores(self, seen: _Seen) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of distinct words, and which have any."""
-        out = np.zeros((len(seen.words), len(self.languages)), np.float32)
+    def word_scores(self, seen: _Seen) -> tuple[Level, np.ndarray, np.ndarray]:
+        """For distinct words: their entries, their score in a language without one, and which have any score."""
+        words_, langs, gains = [], [], []
+        base = np.zeros(len(seen.words))
         at, done = self.find(0, seen.words)
-        out[done] = self.scores[0][at[done]]
+        known = np.flatnonzero(done)
+        place, lang, gain = self.levels[0].entries(at[known])
+        words_.append(known[place]), langs.append(lang), gains.append(gain)
+        base[known] = self.levels[0].base
         todo = np.flatnonzero(~done)
         for order in ORDERS:
             if not len(todo):
                 break
             h, owner = grams(seen.texts(todo), order)
-            at, known = self.find(order, h)
-            n = np.bincount(owner[known], minlength=len(todo))
-            for j in range(len(self.languages)):
-                total = np.bincount(owner[known], self.scores[order][at[known], j], minlength=len(todo))
-                out[todo, j] = total / np.maximum(n, 1)
+            at, found = self.find(order, h)
+            n = np.bincount(owner[found], minlength=len(todo))
+            place, lang, gain = self.levels[order].entries(at[found])
+            mine = owner[found][place]
+            key, which = np.unique(mine * len(self.languages) + lang, return_inverse=True)
+            words_.append(todo[key // len(self.languages)])
+            langs.append(key % len(self.languages))
+            gains.append(np.bincount(which, gain / n[mine], minlength=len(key)))
+            base[todo[n > 0]] = self.levels[order].base
             done[todo[n > 0]] = True
-            out[todo[n == 0]] = 0
             todo = todo[n == 0]
-        return out, done
+        words_, langs, gains = (np.concatenate(x) for x in (words_, langs, gains))
+        order = np.argsort(words_, kind="stable")
+        first = np.searchsorted(words_[order], np.arange(len(seen.words) + 1))
+        return Level(seen.words, first, langs[order], gains[order], 0.0), base, done
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
         n = len(offsets) - 1
@@ -114,11 +146,21 @@ class Model:
         seen = _Seen(data, offsets)
         if not self.languages or not len(seen.h):
             return out, score
-        by_word, some = self.word_scores(seen)
+        by_word, base, some = self.word_scores(seen)
+        many_langs = len(self.languages)
         doc = np.repeat(np.arange(n), np.diff(seen.first))
         use = some[seen.word]
-        many = np.bincount(doc[use], minlength=n)
-        mean = np.stack([np.bincount(doc[use], by_word[seen.word[use], j], minlength=n) for j in range(len(self.languages))], 1) / np.maximum(many, 1)[:, None]
+        doc, word = doc[use], seen.word[use]
+        many = np.bincount(doc, minlength=n)
+        total = np.repeat(np.bincount(doc, base[word], minlength=n)[:, None], many_langs, 1).ravel()
+        step = np.cumsum(by_word.first[word + 1] - by_word.first[word])
+        a = 0
+        while a < len(word):
+            z = max(a + 1, int(np.searchsorted(step, (step[a - 1] if a else 0) + _ENTRIES, "right")))
+            place, lang, gain = by_word.entries(word[a:z])
+            total += np.bincount(doc[a:z][place] * many_langs + lang, gain, minlength=len(total))
+            a = z
+        mean = total.reshape(n, many_langs) / np.maximum(many, 1)[:, None]
         best = mean.argmax(1)
         # Posterior of the best, as if of at most 20 independent words.
         edge = (mean - mean.max(1, keepdims=True)) * np.log(10) * np.clip(many, 1, 20)[:, None]
@@ -128,12 +170,16 @@ class Model:
         return out, score
 
 
-def fit(labelled: DataFrame, rows: int = FIT_ROWS, vocabulary: int = 60_000, grams_each: int = 20_000) -> Model:
-    """A model from (doc_id, text, lang), of at most ``rows`` rows by a hash of doc_id, whole texts."""
+def fit(labelled: DataFrame, rows: int = FIT_ROWS, size: int = FIT_BYTES, least: int = FIT_LEAST) -> Model:
+    """A model from (doc_id, text, lang): of each of L languages at most ``rows`` / L rows (or ``least``) and ``size`` / L bytes, whole texts, by a hash of doc_id."""
     labelled = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    many = labelled.select("doc_id").count()
-    share = 1 << 20 if many <= rows else max(1, (rows << 20) // many)
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share)
+    found = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()  # a row for each language
+    languages = sorted(r.lang for r in found)
+    if not languages:
+        return Model([], {})
+    share = {r.lang: min(1.0, max(least, rows / len(found)) / r.n, size / len(found) / max(1, r.size)) for r in found}
+    shares = F.create_map(*(F.lit(x) for pair in share.items() for x in pair))
+    sample = labelled.where(chosen("doc_id", F.element_at(shares, F.col("lang"))))
 
     def count(batches):
         def merged(parts):
@@ -167,35 +213,19 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, vocabulary: int = 60_000, gra
                 yield pa.record_batch([pa.array([lang] * m), pa.array(np.full(m, order, np.int32)), pa.array(h[a : a + m].view(np.int64)), pa.array(n[a : a + m])], ["lang", "level", "h", "n"])
 
     counts = map_arrow(sample.select("text", "lang"), count, "lang string, level int, h long, n long")
-    counts = written(counts.groupBy("lang", "level", "h").agg(F.sum("n").alias("n")))
-    # The least count to keep, for each language and order, from how many hashes have each count.
-    spread: dict[tuple, list] = {}
-    for r in counts.groupBy("lang", "level", "n").agg(F.count(F.lit(1)).alias("c")).collect():
-        spread.setdefault((r.lang, r.level), []).append((r.n, r.c))
-    least, totals = [], {}
-    for (lang, level), pairs in spread.items():
-        room, low = (grams_each if level else vocabulary), None
-        for n, c in sorted(pairs, reverse=True):
-            room -= c
-            if room < 0 and low is not None:
-                break
-            low = n
-        least.append((lang, level, low))
-        totals[lang, level] = sum(n * c for n, c in pairs)
-    languages = sorted({lang for lang, _ in totals})
-    if not languages:
-        return Model([], {}, {})
-    kept = counts.join(F.broadcast(counts.sparkSession.createDataFrame(least, "lang string, level int, low long")), ["lang", "level"]).where("n >= low").select("lang", "level", "h", "n").toArrow()
-    lang = np.searchsorted(languages, np.array(kept.column(0).to_pylist()))
+    kept = counts.groupBy("lang", "level", "h").agg(F.sum("n").alias("n")).toArrow()  # bounded by the sample
+    lang = np.searchsorted(languages, kept.column(0).to_numpy().astype(str)) if kept.num_rows else np.zeros(0, np.int64)
     level, h, n = (kept.column(i).to_numpy() for i in (1, 2, 3))
-    model = Model(languages, {}, {})
+    model = Model(languages, {})
     for order in (0, *ORDERS):
-        mine = level == order
-        keys, at = np.unique(h[mine].astype(np.int64).view(np.uint64), return_inverse=True)
-        size = np.array([max(1, totals.get((x, order), 1)) for x in languages], float)
-        score = np.tile(np.log10(0.5 / size.max()), (len(keys), len(languages))).astype(np.float32)
-        score[at, lang[mine]] = np.log10(n[mine] / size[lang[mine]])
-        model.hashes[order], model.scores[order] = keys, score
+        mine = np.flatnonzero(level == order)
+        mine = mine[np.lexsort((lang[mine], h[mine].astype(np.int64).view(np.uint64)))]
+        keys, own = h[mine].astype(np.int64).view(np.uint64), lang[mine]
+        total = np.maximum(np.bincount(own, n[mine], minlength=len(languages)), 1)
+        base = float(np.log10(0.5 / total.max()))
+        distinct, first = np.unique(keys, return_index=True)
+        gain = (np.log10(n[mine] / total[own]) - base).astype(np.float32)
+        model.levels[order] = Level(distinct, np.append(first, len(keys)), own.astype(np.int32), gain, base)
     return model
 
 

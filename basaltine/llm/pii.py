@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow
+from .common import chosen, map_arrow
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents that the field is fitted on, at most, and bytes of their texts (both by expectation of a hash).
@@ -442,7 +442,7 @@ def fit(documents: DataFrame, rows: int = FIT_ROWS, size: int = FIT_BYTES) -> Fi
     """A field from at most ``rows`` documents with candidates, and ``size`` bytes of text, chosen by a hash of doc_id; whole texts."""
     some = documents.where(F.col("text").rlike("[0-9@]")).select("doc_id", "text")
     many, total = some.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
-    share = int(min(1.0, rows / max(1, many), size / max(1, total or 0)) * (1 << 20))
+    share = min(1.0, rows / max(1, many), size / max(1, total or 0))
 
     def build(batches):
         for batch in batches:
@@ -455,7 +455,7 @@ def fit(documents: DataFrame, rows: int = FIT_ROWS, size: int = FIT_BYTES) -> Fi
             yield pa.record_batch([pa.array(out, pa.binary())], ["g"])
 
     # One order, and so one pool of spans, whatever the files: bounded by ``rows`` and ``size``.
-    sample = some.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < max(1, share)).orderBy(F.xxhash64("doc_id", "text")).select("text")
+    sample = some.where(chosen("doc_id", share)).orderBy(F.xxhash64("doc_id", "text")).select("text")
     return Field.fit([pickle.loads(r.g) for r in map_arrow(sample, build, "g binary").collect()])
 
 

@@ -9,7 +9,7 @@ the category's rates; a logistic model is fitted on them.
 A chain is fitted on a bounded sample of labelled rows and applied to all documents.
 
 Edge cases: null and empty texts have no words, their probabilities are the models' intercepts;
-rows with a null label aren't fitted on; without labelled rows, or with one class only, a
+rows with a null label aren't fitted on; of several labels of a doc_id the largest counts; without labelled rows, or with one class only, a
 category's probability is its smoothed rate; repeated rows stay; an empty table gives no rows;
 further columns are ignored.
 """
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, blocks, map_arrow, ragged, utf8, words
+from .common import ALNUM, blocks, chosen, map_arrow, ragged, utf8, words
 
 #: Labelled rows that a chain is fitted on, at most (by expectation of a hash of doc_id).
 FIT_ROWS = 8000
@@ -150,10 +150,8 @@ def fit_chain(ids: np.ndarray, first: np.ndarray, labels: np.ndarray, folds: np.
 def fit(documents: DataFrame, labels: DataFrame, categories: tuple[str, ...], rows: int = FIT_ROWS) -> Chain:
     """A chain from documents (doc_id, text) and 0/1 labels (doc_id, one column for each category)."""
     known = labels.select("doc_id", *categories).dropna()
-    many = known.count()
-    share = 1 << 20 if many <= rows else max(1, (rows << 20) // many)
     # Bounded by ``rows``, so it may be sent to all tasks.
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share).dropDuplicates(["doc_id"])
+    sample = known.where(chosen("doc_id", min(1.0, rows / max(1, known.count())))).groupBy("doc_id").agg(*(F.max(c).alias(c) for c in categories))
     taken = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).cast("int").alias("fold"), F.col("doc_id"), F.array(*(F.col(c).cast("int") for c in categories)).alias("y"))
 
     def hashed(batches):

@@ -46,6 +46,51 @@ def test_grams():
     assert langid.grams(["ab"], 1)[1].tolist() == [0, 0] and langid.grams(["a"], 5)[1].tolist() == []
 
 
+def test_rare_languages_are_learned(spark):
+    rows = [(i, prose(i, 8) + " und", "aa") for i in range(3000)] + [(4000 + i, f"zyxwv qponm{i} ", "bb") for i in range(3)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=40, least=10)
+    probe = spark.createDataFrame([(1, "zyxwv"), (2, prose(5, 9))], "doc_id long, text string")
+    assert model.languages == ["aa", "bb"] and [r.lang_pred for r in sorted(langid.identify(probe, model).collect())] == ["bb", "aa"]
+
+
+def test_scores_against_plain_ones(spark):
+    """Scores as the docstring has them, from plain counts of whole words and n-grams."""
+    texts = [("de", "haus und hof"), ("de", "haus im hof"), ("en", "house and yard"), ("en", "a house"), ("fr", "la maison et la cour")]
+    model = langid.fit(spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string"))
+    langs = ["de", "en", "fr"]
+
+    def parts(word, order):
+        w = f" {word} "
+        return [g for g in (w[i : i + order] for i in range(len(w) - order + 1)) if g != " "] if order else [word]
+
+    count = {(o, x): {} for o in (0, *langid.ORDERS) for x in langs}
+    for lang, t in texts:
+        for w in t.split():
+            for o in (0, *langid.ORDERS):
+                for g in parts(w, o):
+                    count[o, lang][g] = count[o, lang].get(g, 0) + 1
+
+    def score(word):
+        for o in (0, *langid.ORDERS):
+            total = {x: max(1, sum(count[o, x].values())) for x in langs}
+            known = [g for g in parts(word, o) if any(g in count[o, x] for x in langs)]
+            if known:
+                low = np.log10(0.5 / max(total.values()))
+                return [np.mean([np.log10(count[o, x][g] / total[x]) if g in count[o, x] else low for g in known]) for x in langs]
+        return None
+
+    for text in ("haus", "hofhaus", "la yard", "maisons und houses q", "a"):
+        seen = langid._Seen(*langid.utf8(pa.array([text])))
+        level, base, some = model.word_scores(seen)
+        for k, (a, b) in enumerate(zip(level.first[:-1], level.first[1:], strict=True)):
+            want = score(text.split()[int(np.flatnonzero(seen.word == k)[0])])
+            assert some[k] == (want is not None)
+            if want:
+                got = np.full(3, base[k])
+                got[level.lang[a:b]] += level.gain[a:b]
+                assert np.allclose(got, want, atol=1e-5)
+
+
 def test_langid_query(spark, sf):
     rows = langid.op4_word_backoff_langid(spark, sf).collect()
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
