@@ -261,7 +261,7 @@ class Index:
             mine = kept.setdefault(m[0], [])
             if not any(m[4] < o[5] and o[4] < m[5] for o in mine):
                 mine.append(m)
-        return sorted(m for mine in kept.values() for m in mine)
+        return sorted((m for mine in kept.values() for m in mine), key=lambda m: (m[0], m[4], m[5]))
 
 
 def scan(documents: DataFrame, templates: dict[str, str] | None = None, gram: int = 3, window: int = 3, coverage: float = 0.8, band: int = 8, marks: dict[str, list[str]] | None = None) -> DataFrame:

@@ -6,8 +6,8 @@ its own and writes a sidecar index (file, offset, length, ...). ``read_archives`
 at the offsets of the index.
 
 Archive files lie in a folder of the shared file system, opened through pyarrow's file systems.
-A file is written under a temporary name and then renamed, so a repeated task replaces it by the
-same bytes.
+A file is written under a temporary name and then renamed, so a repeated task replaces it by a whole
+file of the same records; members and offsets follow from that file alone, so repeating them gives the same bytes.
 
 Edge cases: a null html is an empty payload; null urls become ``urn:page:<page_id>``; repeated
 rows of the smallest page_id of a payload are all responses; a null page_id is left out of the
@@ -112,17 +112,20 @@ def records(chunks: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def inflated(stream, size: int = 1 << 20) -> Iterator[bytes]:
-    """Inflate a gzip stream of any number of members."""
-    d = zlib.decompressobj(31)
+    """Inflate a gzip stream of any number of members, at most ``size`` bytes at a time; a stream that ends within a member is an error."""
+    d, begun = zlib.decompressobj(31), False
     while data := stream.read(size):
         while data:
-            if out := d.decompress(data):
+            begun = True
+            if out := d.decompress(data, size):
                 yield out
-            data = d.unused_data
+            data = d.unconsumed_tail
             if d.eof:
-                d = zlib.decompressobj(31)
-    if tail := d.flush():
-        yield tail
+                data, d, begun = d.unused_data, zlib.decompressobj(31), False
+    while begun and not d.eof and (out := d.decompress(b"", size)):  # held back by the bound
+        yield out
+    if begun and not d.eof:
+        raise ValueError("the gzip stream ends within a member")
 
 
 def write_archives(pages: DataFrame, folder: str, smallest: int = 0, level: int = 1) -> DataFrame:

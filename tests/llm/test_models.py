@@ -297,6 +297,48 @@ def test_adjacent_licenses_are_all_found(name):
             assert [index.names[r[1]] for r in rows] == [name] * many and all(r[5] - r[4] == n for r in rows)
 
 
+def plain_alignment(template, text):
+    """Best local alignment without a band: (score, matched, begin, end); matches 2, mismatches and gaps -1."""
+    best, before = (0, 0, 0, 0), [(0, 0, j) for j in range(len(text) + 1)]
+    for w in template:
+        row = [(0, 0, 0)]
+        for j, v in enumerate(text):
+            s, m, f = before[j]
+            options = [(s + 2, m + 1, f if s else j) if v == w else (s - 1, m, f), (before[j + 1][0] - 1, *before[j + 1][1:]), (row[j][0] - 1, *row[j][1:])]
+            top = max(options, key=lambda x: x[:2])
+            row.append(top if top[0] > 0 else (0, 0, j + 1))
+            if top[0] > best[0]:
+                best = (*top, j + 1)
+        before = row
+    return best
+
+
+def plain_matches(template, text, least, at=0):
+    """Best alignment first, then the words left and right of it."""
+    score, matched, begin, end = plain_alignment(template, text)
+    if not matched or matched < least:
+        return []
+    return [*plain_matches(template, text[:begin], least, at), (at + begin, at + end, matched), *plain_matches(template, text[end:], least, at + end)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.data())
+def test_repeats_against_a_plain_aligner(data):
+    """One to five occurrences with edits, next to each other or apart: the same matches as an aligner without index, band or fingerprints."""
+    template = [f"t{i}" for i in range(22)]
+    text = [f"n{i}" for i in range(data.draw(st.integers(0, 6)))]
+    for c in range(data.draw(st.integers(1, 5))):
+        copy = list(template)
+        for e in range(data.draw(st.integers(0, 2))):
+            at = data.draw(st.integers(4, 17))
+            copy[at : at + data.draw(st.integers(0, 1))] = [f"e{c}x{e}"] * data.draw(st.integers(0, 2))
+        text += copy + [f"m{c}y{i}" for i in range(data.draw(st.sampled_from([0, 0, 1, 7])))]
+    index = licenses.Index({"x": " ".join(template)}, 3, 3)
+    (h,) = licenses.hashed([" ".join(text)])
+    got = [(r[4], r[5], r[3]) for r in index.scan(h, np.array([0, len(h)]), 0.8, 8)]
+    assert got == plain_matches(template, text, 0.8 * 22)
+
+
 def found_in(text: str, **options) -> list[str]:
     index = licenses.Index(options.get("templates", licenses.TEMPLATES), 3, 3)
     (h,) = licenses.hashed([text])
@@ -361,6 +403,22 @@ def test_monolithic_streams():
         assert list(warc.records(warc.inflated(io.BytesIO(whole), size))) == raw
     with pytest.raises(ValueError):
         list(warc.records(iter([raw[3][:-20]])))
+    assert list(warc.records(warc.inflated(io.BytesIO(whole * 3), 1000))) == raw * 3
+    # Cut anywhere, also at the end of a record, a stream is an error.
+    gz, parts = zlib.compressobj(6, zlib.DEFLATED, 31), []
+    for r in raw:
+        parts.append(gz.compress(r) + gz.flush(zlib.Z_FULL_FLUSH))
+    for cut in (b"".join(parts[:6]), whole[:-1], whole[: len(whole) // 2], whole[:5], whole + whole[:30]):
+        with pytest.raises(ValueError):
+            list(warc.records(warc.inflated(io.BytesIO(cut))))
+    assert list(warc.inflated(io.BytesIO(b""))) == []
+
+
+def test_inflation_is_bounded():
+    gz = zlib.compressobj(9, zlib.DEFLATED, 31)
+    bomb = gz.compress(b"a" * 50_000_000) + gz.flush()
+    sizes = [len(x) for x in warc.inflated(io.BytesIO(bomb), 1 << 16)]
+    assert max(sizes) <= 1 << 16 and sum(sizes) == 50_000_000
 
 
 # ---------------------------------------------------------------- neighbours
