@@ -1,8 +1,9 @@
 """Packing by cutting-stock column generation.
 
 Documents longer than a sequence are cut at whole sequences; what is left of each, and every
-shorter document, is a piece. Piece lengths, rounded up to a grain, form a histogram of at
-most capacity / grain classes. A linear program over patterns (how many pieces of each class
+shorter document, is a piece. Pieces of less than a 64th of a sequence are bundled, up to an eighth
+of a sequence, and placed as one. Lengths of bundles and other pieces, rounded up to a grain, form a histogram of at
+most capacity / grain classes; less than a grain for each of them is padding that the plan doesn't see. A linear program over patterns (how many pieces of each class
 share a sequence) is solved by column generation: the duals price classes and a knapsack
 dynamic program finds the best new pattern. Patterns are rounded down, the remainder is
 filled greedily, and the pieces of each class, ranked, take the patterns' places in turn.
@@ -58,7 +59,7 @@ def relaxed(width: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1
     width, or what the duals prove), or after ``most`` pivots (any state is a valid packing).
     """
     m = len(width)
-    basis = np.diag(capacity // width)
+    basis = np.diag(capacity // width).astype(float)
     inverse = np.diag(1.0 / (capacity // width))
     counts, least = inverse @ demand, demand @ width / capacity
     for turn in range(most):
@@ -79,10 +80,10 @@ def relaxed(width: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1
         move[out] = 0
         inverse -= np.outer(move, inverse[out])
         basis[:, out] = column
-        if turn % 200 == 199:  # rounding errors
-            inverse = np.linalg.inv(basis.astype(float))
+        if turn % 100 == 99:  # rounding errors go by a step of Newton's; LAPACK's threads may hang beside a JVM
+            inverse = 2 * inverse - inverse @ (basis @ inverse)
             counts = inverse @ demand
-    return basis, np.maximum(counts, 0)
+    return basis.round().astype(np.int64), np.maximum(counts, 0)
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
@@ -159,10 +160,21 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int
         enc, end, part = encoder(tokenizer), struct.pack("<I", end_id), TaskContext.get().partitionId()
         seen, at, step = np.zeros(wide + 1, np.int64), 0, 4 * capacity
         rows, ids, size = [], [], 0
+        short, tokens = [], 0  # the open bundle, and its tokens
+
+        def placed(items, n):
+            """Rows of pieces that share a place of n tokens."""
+            nonlocal size
+            c = -(-n // grain)
+            for lead, (doc, a, piece, total) in enumerate(items):
+                rows.append(((part << 40) + doc[0], c, int(seen[c]), int(lead == 0), doc[1], a, len(piece) // 4, total))
+                ids.append(piece)
+                size += len(piece)
+            seen[c] += 1
 
         def out(kind):
             cols = list(zip(*rows, strict=True))
-            return pa.record_batch([pa.array(cols[0], pa.int64()), pa.array([part] * len(rows), pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], kind), *(pa.array(c, pa.int64()) for c in cols[4:]), id_lists(ids)], ["piece_id", "part", "cls", "nth", "doc_id", "start", "length", "doc_tokens", "ids"])
+            return pa.record_batch([pa.array(cols[0], pa.int64()), pa.array([part] * len(rows), pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), pa.array(cols[4], kind), *(pa.array(c, pa.int64()) for c in cols[5:]), id_lists(ids)], ["piece_id", "part", "cls", "nth", "lead", "doc_id", "start", "length", "doc_tokens", "ids"])
 
         for batch in batches:
             kind, texts = batch.schema.field(0).type, batch.column(1)
@@ -170,27 +182,33 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int
                 whole = enc(texts[i].as_py() or "") + end
                 for a in range(0, len(whole), step):
                     piece = whole[a : a + step]
-                    n = len(piece) // 4
-                    c = -(-n // grain)
-                    rows.append(((part << 40) + at, c, int(seen[c]), doc, a // 4, n, len(whole) // 4))
-                    ids.append(piece)
-                    seen[c] += 1
+                    n, item = len(piece) // 4, ((at, doc), a // 4, piece, len(whole) // 4)
                     at += 1
-                    size += len(piece)
+                    if 64 * n >= capacity:
+                        placed([item], n)
+                    else:
+                        if 8 * (tokens + n) > capacity and short:
+                            placed(short, tokens)
+                            short, tokens = [], 0
+                        short.append(item)
+                        tokens += n
                     if size >= BATCH:
                         yield out(kind)
                         rows, ids, size = [], [], 0
             if rows:
                 yield out(kind)
                 rows, ids, size = [], [], 0
+        if short:
+            placed(short, tokens)
+            yield out(kind)
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     path = shared_dir(spark)
     layout = Layout(page=1 << 20).options()
-    map_arrow(documents.select("doc_id", "text"), cut, f"piece_id long, part int, cls int, nth long, doc_id {kind}, start long, length long, doc_tokens long, ids array<int>", keep=True).write.options(**layout).parquet(path)
+    map_arrow(documents.select("doc_id", "text"), cut, f"piece_id long, part int, cls int, nth long, lead int, doc_id {kind}, start long, length long, doc_tokens long, ids array<int>", keep=True).write.options(**layout).parquet(path)
     pieces = spark.read.parquet(path)
 
-    by_part = pieces.groupBy("cls", "part").agg(F.count(F.lit(1)).alias("n"))
+    by_part = pieces.where("lead = 1").groupBy("cls", "part").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r.cls: r.n for r in by_part.groupBy("cls").agg(F.sum("n").alias("n")).collect()}  # a row for each class
     at = places(plan(histogram, capacity // grain))
     keys, first = (at[:, 0] << 44) + at[:, 1], at
@@ -206,9 +224,9 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int
             yield pa.record_batch([b.column(0), b.column(3), pa.array(first[j, 2] + rank - first[j, 1]), pa.array(first[j, 3])], ["piece_id", "length", "sequence_id", "slot"])
 
     placed = map_arrow(ranked, place, "piece_id long, length long, sequence_id long, slot long")
-    earlier = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("sequence_id").orderBy("slot", "piece_id").rowsBetween(Window.unboundedPreceding, -1)
     assigned = placed.select("piece_id", "sequence_id", F.coalesce(F.sum("length").over(earlier), F.lit(0)).alias("offset"))
-    return Packed(pieces.drop("part", "cls", "nth"), assigned, capacity)
+    return Packed(pieces.drop("part", "cls", "nth", "lead"), assigned, capacity)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

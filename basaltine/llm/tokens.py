@@ -130,8 +130,8 @@ def list_bytes(column: pa.Array) -> list[memoryview]:
     return [raw[4 * a : 4 * b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
-#: Bytes of ids in one Arrow batch.
-BATCH = 16 << 20
+#: Bytes of ids in one Arrow batch, and of a table that make one file, where that gives more files than shuffle partitions.
+BATCH, FILE = 16 << 20, 64 << 20
 
 
 @dataclass(frozen=True)
@@ -169,7 +169,9 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
     ids before it, a row for each file.
     """
     spark = documents.sparkSession
-    files = files or partitions(spark)
+    if files is None:
+        size = int(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        files = max(partitions(spark), -(-size // FILE) if size < 1 << 60 else 1)  # beyond, it isn't known
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartitionByRange(files, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
 

@@ -520,6 +520,13 @@ def test_few_and_no_vectors(spark):
     assert ann.search(index, quantiser, dim, index).count() == 0
 
 
+def test_conjugate_gradients():
+    rng = np.random.default_rng(3)
+    m, b = rng.normal(size=(90, 60)), rng.normal(size=(60, 5))
+    a = m.T @ m + 0.1 * np.eye(60)
+    assert np.allclose(a @ ann.solved_near(a, b, np.zeros((60, 5))), b, atol=1e-5)
+
+
 def test_beam_search_lowers_the_error():
     x = np.random.default_rng(2).normal(size=(800, 12))
     q = ann.Quantiser.fit(x, books=4, codes=16)

@@ -74,6 +74,48 @@ def test_packing(odd):
     assert len(sequences) == len(by) and all(len(s.ids) <= 256 for s in sequences)
 
 
+def test_many_short_documents(spark):
+    """Bundles leave little padding, every id lies in one piece, offsets have no gaps."""
+    rows = [(i, " ".join(["cat"] * (i % 9))) for i in range(6000)]
+    packed = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), PATH)
+    got = packed.pieces.join(packed.assigned, "piece_id").collect()
+    assert sorted((r.doc_id, r.start, r.length) for r in got) == [(i, 0, len(ids(t)) + 1) for i, t in rows]
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    total = sum(r.length for r in got)
+    assert len(by) <= -(-total // 4096) + 1
+    for pieces in by.values():
+        pieces.sort()
+        assert [o for o, _ in pieces] == [0, *np.cumsum([n for _, n in pieces])[:-1]] and sum(n for _, n in pieces) <= 4096
+
+
+def test_packing_and_token_queries(spark, sf):
+    """Both queries against the library, on whole tables."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    whole = {d: np.append(ids(t), 2).astype("<u4") for d, t in docs.items()}
+    start = 0
+    written = {r.doc_id: r for r in tokens.op9_token_files(spark, sf).collect()}
+    assert sorted(written) == sorted(docs)
+    for d in sorted(docs):
+        r = written[d]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(whole[d]), zlib.crc32(whole[d].tobytes()))
+        start += len(whole[d])
+    pieces = packing.op8_packing(spark, sf).collect()
+    covered, by = {}, {}
+    for r in pieces:
+        assert r.doc_tokens == len(whole[r.doc_id]) and r.ids_crc32 == zlib.crc32(whole[r.doc_id][r.start : r.start + r.length].tobytes())
+        covered.setdefault(r.doc_id, []).append((r.start, r.length))
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for d, parts in covered.items():
+        parts.sort()
+        assert [a for a, _ in parts] == [0, *np.cumsum([n for _, n in parts])[:-1]] and sum(n for _, n in parts) == len(whole[d])
+    for parts in by.values():
+        parts.sort()
+        assert [a for a, _ in parts] == [0, *np.cumsum([n for _, n in parts])[:-1]] and sum(n for _, n in parts) <= 4096
+    assert sorted(covered) == sorted(docs) and len(by) <= 1.02 * start / 4096 + 1
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 30), max_size=12))
 def test_plan_is_whole(histogram):
