@@ -22,10 +22,34 @@ def test_stages(spark, sf):
 
 
 def test_stages_take_odd_rows(spark, sf, odd, empty):
-    docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
-    for df in (docs, docs.limit(0)):
-        for _, stage in corpus_pipeline.STAGES:
+    """Clashing further columns, repeated rows, nulls and long texts pass every stage, with the results it defines."""
+    for start in (odd, empty):
+        df, before = start, {}
+        for name, stage in corpus_pipeline.STAGES[:-1]:
             df = written(stage(spark, df, sf))
+            assert df.columns == odd.columns
+            before[name] = sorted(((r.doc_id, r.text, r.row, r.digest) for r in df.collect()), key=str)
+        packed = written(corpus_pipeline.packed(spark, df, sf))
+        assert packed.select("doc_id").distinct().count() == df.select("doc_id").distinct().count()
+    df = odd
+    got = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        df = written(stage(spark, df, sf))
+        got[name] = sorted((r.doc_id or 0, r.row, r.digest, r.key, r["rest"]) for r in df.collect())
+    ids = {name: [r[0] for r in rows] for name, rows in got.items()}
+    assert all(r[1:] == ("clash", "d", 1, 2.0) for rows in got.values() for r in rows)
+    assert ids["language"] == [0, 1, 2, 2, 3, 7, 8, 9, 10, 12, 13]
+    assert ids["near_duplicates"] == ids["decontaminated"] == ids["private"] == [0, 1, 7, 9, 10, 12, 13]
+
+
+def test_run_leaves_only_what_it_returns(spark, sf, tmp_path):
+    from pyspark.sql import functions as F
+
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").limit(40).write.parquet(f"{tmp_path}/{name}.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path))
+    sizes = rows.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+    assert sizes and all(r.n <= 4096 for r in sizes)
 
 
 def test_language_is_filled_and_no_lettered_row_is_lost(spark, sf):
