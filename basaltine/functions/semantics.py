@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,8 +37,12 @@ def pg_avg(column: str | Column, kind: T.DataType, scale: int = 16) -> Column:
 
 def uint8(column: str | Column) -> Column:
     """Text or numeric to unsigned 64-bit; fractions, negatives and overflow raise."""
-    c = (F.col(column) if isinstance(column, str) else column).cast("decimal(38,10)")
-    good = (c == F.floor(c)) & (c >= 0) & (c <= F.lit(str(UINT8_MAX)).cast("decimal(38,0)"))
+    given = F.col(column) if isinstance(column, str) else column
+    c = given.cast("decimal(38,10)")
+    # The cast rounds to ten digits: what is whole must be so as written, too. 1e3 and 5.000 are whole.
+    text = F.trim(given.cast("string"))
+    exact = F.when(text.rlike("[eE]"), given.cast("double") == c.cast("double")).otherwise(~text.rlike("[.][0-9]*[1-9]"))
+    good = exact & (c == F.floor(c)) & (c >= 0) & (c <= F.lit(str(UINT8_MAX)).cast("decimal(38,0)"))
     return F.when(c.isNull(), F.lit(None)).when(good, c.cast(UINT8)).otherwise(F.raise_error(F.concat(F.lit("out of range for uint8: "), c.cast("string"))).cast(UINT8))
 
 
@@ -77,12 +82,22 @@ def _element_contains(value):
     return lambda x: _contains(x, value, "$")
 
 
+def _step(path: str, key: str) -> str:
+    """A path to a key, quoted by whichever quote it lacks."""
+    if "'" not in key:
+        return f"{path}['{key}']"
+    if '"' not in key:
+        return f'{path}["{key}"]'
+    raise ValueError(f"a key with both quotes can't be looked up: {key!r}")
+
+
 def _contains(c: Column, value, path: str) -> Column:
+    whole = F.try_variant_get(c, path, "variant")
+    kind = F.schema_of_variant(whole)
     if isinstance(value, dict):
-        is_object = F.schema_of_variant(F.try_variant_get(c, path, "variant")).startswith("OBJECT") if path != "$" else F.lit(True)
-        out = F.coalesce(is_object, F.lit(False))
+        out = F.coalesce(kind.startswith("OBJECT"), F.lit(False))
         for k, v in value.items():
-            out = out & _contains(c, v, f"{path}['{k}']")
+            out = out & _contains(c, v, _step(path, k))
         return out
     if isinstance(value, list):
         items = F.try_variant_get(c, path, "array<variant>")
@@ -90,22 +105,33 @@ def _contains(c: Column, value, path: str) -> Column:
         for v in value:
             out = out & F.exists(items, _element_contains(v))
         return F.coalesce(out, F.lit(False))
-    kind = F.schema_of_variant(F.try_variant_get(c, path, "variant"))
     if value is None:
         return F.coalesce(kind == "VOID", F.lit(False))
     if isinstance(value, bool):
         return F.coalesce((kind == "BOOLEAN") & (F.try_variant_get(c, path, "boolean") == value), F.lit(False))
     if isinstance(value, int | float):
+        # Numbers within 38 digits are compared as such, all others as doubles.
         numeric = kind.startswith("DECIMAL") | kind.isin("BIGINT", "DOUBLE", "FLOAT", "INT")
-        return F.coalesce(numeric & (F.try_variant_get(c, path, "decimal(38,10)") == F.lit(str(value)).cast("decimal(38,10)")), F.lit(False))
+        number = Decimal(repr(value))
+        same = F.try_variant_get(c, path, "double") == float(value)
+        if number == number.quantize(Decimal(1)) if abs(number) < 10**27 else False:
+            exact = F.try_variant_get(c, path, "decimal(38,10)") == F.lit(str(number.quantize(Decimal(1)))).cast("decimal(38,10)")
+            same = F.when(kind.isin("DOUBLE", "FLOAT"), same).otherwise(exact & (same | F.lit(abs(number) > 2**53)))
+        return F.coalesce(numeric & same, F.lit(False))
     return F.coalesce((kind == "STRING") & (F.try_variant_get(c, path, "string") == value), F.lit(False))
 
 
 def jsonb_contains(column: str | Column, value: str | dict | list) -> Column:
-    """``jsonb @> value``: objects contain their keys' values, arrays some element for each, numbers by value. Null in, null out."""
+    """``jsonb @> value``: objects contain their keys' values, arrays some element for each, numbers by value. Null in, null out.
+
+    An array at the top also contains a scalar that is one of its elements.
+    """
     c = F.try_parse_json(column if isinstance(column, str) else column)
     value = json.loads(value) if isinstance(value, str) else value
-    return F.when(c.isNull(), F.lit(None)).otherwise(_contains(c, value, "$"))
+    out = _contains(c, value, "$")
+    if not isinstance(value, dict | list):
+        out = out | F.coalesce(F.exists(F.try_variant_get(c, "$", "array<variant>"), _element_contains(value)), F.lit(False))
+    return F.when(c.isNull(), F.lit(None)).otherwise(out)
 
 
 def jsonb_exists(column: str | Column, key: str) -> Column:

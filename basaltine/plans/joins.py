@@ -15,11 +15,11 @@ QUERIES = {
         FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey
         JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY n_name"""
     ),
-    "join_self": sql("SELECT count(*) AS n FROM orders a JOIN orders b ON a.o_orderkey = b.o_orderkey JOIN orders c ON b.o_orderkey = c.o_orderkey JOIN orders d ON c.o_orderkey = d.o_orderkey WHERE a.o_orderkey < 1000"),
+    "join_self": sql("SELECT count(*) AS n FROM orders a JOIN orders b ON a.o_orderkey = b.o_orderkey JOIN orders c ON b.o_orderkey = c.o_orderkey JOIN orders d ON c.o_orderkey = d.o_orderkey"),
     "join_lateral": sql("SELECT r_name, t.n_name FROM region, LATERAL (SELECT n_name FROM nation WHERE n_regionkey = r_regionkey ORDER BY n_name LIMIT 2) t"),
     "join_left_lateral": sql("SELECT n_name, t.n FROM nation LEFT JOIN LATERAL (SELECT count(*) AS n FROM supplier WHERE s_nationkey = n_nationkey) t ON true"),
     "join_cross": sql("SELECT count(*) AS n FROM region CROSS JOIN nation"),
-    "join_natural": sql("SELECT count(*) AS n FROM (SELECT n_regionkey AS k, n_name AS a FROM nation) x NATURAL JOIN (SELECT r_regionkey AS k, r_name AS b FROM region) y"),
+    "join_natural": sql("SELECT count(*) AS n FROM (SELECT n_regionkey AS k, n_name AS a FROM nation) x NATURAL JOIN (SELECT r_regionkey AS k, r_name AS b FROM region) y NATURAL JOIN (SELECT s_nationkey AS k, s_name AS c FROM supplier) z"),
     "join_semi": sql("SELECT count(*) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')"),
     "join_exists": sql("SELECT count(*) AS n FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)"),
     "join_not_exists": sql("SELECT count(*) AS n FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"),

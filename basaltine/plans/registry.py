@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -16,18 +18,32 @@ class Query:
     oracle: str | None
 
 
+#: Schemas by path, as a catalog keeps them: inferring one is a job of its own.
+_schemas: dict[str, StructType] = {}
+
+
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
-    return [spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names]
+    out = []
+    for path in (f"{sf_dir}/{n}.parquet" for n in names):
+        if path not in _schemas:
+            _schemas[path] = spark.read.parquet(path).schema
+        out.append(spark.read.schema(_schemas[path]).parquet(path))
+    return out
+
+
+_NAMED = re.compile(rf"\b({'|'.join(TABLES)})\b")
 
 
 def sql(text: str, oracle: str | None = None) -> Query:
-    """A query in Spark SQL over the tables it names; ``oracle`` where the other engine spells it differently."""
-    used = [t for t in TABLES if t in text]
+    """A query in Spark SQL over the tables it names; ``oracle`` where the other engine spells it differently.
+
+    The tables are given to this one query, so nothing is registered in the session.
+    """
+    used = [t for t in TABLES if t in _NAMED.findall(text)]
+    given = _NAMED.sub(r"{\1}", text)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        for name in used:
-            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-        return spark.sql(text)
+        return spark.sql(given, **dict(zip(used, tables(spark, sf_dir, *used), strict=True)))
 
     return Query(run, oracle or text)
 

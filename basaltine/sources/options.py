@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Codecs that tables accept, and the Parquet codec of each.
-CODECS = {"none": "uncompressed", "pglz": "snappy", "lz4": "lz4raw", "zstd": "zstd", "deflate": "gzip", "zxc": "lz4raw"}
+CODECS = {"none": "uncompressed", "pglz": "snappy", "lz4": "lz4_raw", "zstd": "zstd", "deflate": "gzip", "zxc": "lz4_raw"}
 
 
 def _within(name: str, value: int, low: int, high: int) -> None:
@@ -27,6 +27,9 @@ class SortKey:
         c = F.col(f"`{self.column}`")
         return {(False, False): c.asc_nulls_last(), (False, True): c.asc_nulls_first(), (True, False): c.desc_nulls_last(), (True, True): c.desc_nulls_first()}[self.descending, self.nulls_first]
 
+    def text(self) -> str:
+        return f'"{self.column}" {"DESC" if self.descending else "ASC"} NULLS {"FIRST" if self.nulls_first else "LAST"}'
+
 
 _KEY = re.compile(r'\s*(?:"(?P<quoted>[^"]+)"|(?P<plain>\w+))(?:\s+(?P<dir>asc|desc))?(?:\s+nulls\s+(?P<nulls>first|last))?\s*', re.I)
 

@@ -12,5 +12,7 @@ def scratch(spark: SparkSession) -> str:
     """A new folder on the file system that driver and executors share; a local one only where none is named."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="basaltine-tables-")
     return f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"

@@ -8,7 +8,9 @@ so readers see a whole state and a failed writer leaves none.
 
 from __future__ import annotations
 
+import datetime as dt
 import json
+import re
 import uuid
 from dataclasses import asdict, replace
 from typing import Any
@@ -24,10 +26,18 @@ from .options import ColOptions, RowOptions, parse_orderby
 _FILE, _INDEX = "__file", "__row_index"
 _NO_RANGE = (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.VariantType, T.NullType)
 
+#: A literal, which stays, or what names the given row.
+_EXCLUDED = re.compile(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|\bexcluded\.", re.I)
+
 Where = Pred | Column | str | None
 Sets = dict[str, Column | str]
 
 
+def _instant(x: Any, field: T.StructField) -> Any:
+    """A timestamp, which arrives in local time, in UTC; any other value as it is."""
+    return x.astimezone(dt.timezone.utc) if isinstance(field.dataType, T.TimestampType) else x
+
+
 class Table:
     """What both layouts share."""
 
@@ -236,7 +246,7 @@ class Table:
         found = made.groupBy(F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_size").alias("size")).agg(*aggs).collect()  # a row for each file
         out = []
         for r in sorted((x.asDict() for x in found), key=lambda x: x["f"]):
-            ranges = {f.name: [r[f"a{i}"], r[f"b{i}"]] for i, f in enumerate(ranged) if r[f"a{i}"] is not None and not r.get(f"nan{i}")}
+            ranges = {f.name: [_instant(r[f"a{i}"], f), _instant(r[f"b{i}"], f)] for i, f in enumerate(ranged) if r[f"a{i}"] is not None and not r.get(f"nan{i}")}
             nulls = {f.name: r[f"u{i}"] for i, f in enumerate(schema)}
             out.append(Stripe(m.next_stripe, f"{folder}/{r['f']}", r["n"], m.next_row_number, r["size"], len(m.schemas) - 1, ranges, nulls))
             m.next_stripe += 1
@@ -244,9 +254,15 @@ class Table:
         return out
 
     def insert(self, df: DataFrame) -> int:
-        """Append rows. The files that df reads are fixed by its plan, so a table may insert its own rows."""
-        m = self.manifest
-        new = self._written(df, m)
+        """Append rows. The files that df reads are fixed by its plan, so a table may insert its own rows.
+
+        A column that df lacks has its default, or null. A column that the table lacks is an error.
+        """
+        m, schema = self.manifest, self.schema
+        if unknown := [c for c in df.columns if c not in schema.names]:
+            raise ValueError(f"no columns: {', '.join(unknown)}")
+        absent = {f.name: F.lit(m.defaults.get(f.name, (0, None))[1]).cast(f.dataType) for f in schema if f.name not in df.columns}
+        new = self._written(df.withColumns(absent) if absent else df, m)
         m.stripes += new
         self.store.publish(m)
         return sum(s.row_count for s in new)
@@ -293,11 +309,16 @@ class Table:
     def update(self, sets: Sets, where: Where = None) -> int:
         """Delete and insert: updated rows get new row numbers."""
         m = self.manifest
-        matched = self._matched(m, predicate(where))
-        new = self._written(self._set(matched, sets).drop(_FILE, _INDEX), m)
+        # Filter and expressions are evaluated once, also where they aren't deterministic.
+        once = f"{self.path}/updates/{uuid.uuid4().hex}"
+        found = self._set(self._matched(m, predicate(where)), sets)
+        found.write.parquet(once)
+        matched = self.spark.read.schema(found.schema).parquet(once)
+        new = self._written(matched.drop(_FILE, _INDEX), m)
         n = self._mask(m, matched)
         m.stripes += new
         self.store.publish(m)
+        self.store.remove_data([f"updates/{once.rpartition('/')[2]}"])
         return n
 
     def upsert(self, df: DataFrame, keys: list[str], update: Sets | None = None) -> tuple[int, int]:
@@ -327,7 +348,7 @@ class Table:
                 one = F.col(f"`{k}`") == F.col(f"`excluded_{k}`")
                 on = one if on is None else on & one
             both = live.join(given, on)
-            texts = {c: F.expr(e.replace("excluded.", "excluded_")) if isinstance(e, str) else e for c, e in update.items()}
+            texts = {c: F.expr(_EXCLUDED.sub(lambda x: x[0] if x[0][0] in "'\"" else "excluded_", e)) if isinstance(e, str) else e for c, e in update.items()}
             new += self._written(self._set(both, texts).select(*schema.names), m)
             n = self._mask(m, both)
         inserted = sum(s.row_count for s in new) - n
@@ -356,24 +377,41 @@ class Table:
         m.defaults[field.name] = [len(m.schemas) - 1, default]
         self.store.publish(m)
 
+    def _column(self, schema: T.StructType, name: str) -> None:
+        if name not in schema.names:
+            raise ValueError(f"no column {name!r}")
+
     def drop_column(self, name: str) -> None:
+        """A column that rows are sorted or pruned by can't go; clear the option first."""
         m, schema = self.manifest, self.schema
+        self._column(schema, name)
+        if name in [k.column for k in parse_orderby(m.options.get("orderby") or "")] or m.options.get("pruning_column") == name:
+            raise ValueError(f"rows are sorted or pruned by {name!r}")
         m.schemas.append(T.StructType([f for f in schema if f.name != name]).json())
+        m.defaults.pop(name, None)
         self.store.publish(m)
 
     def rename_column(self, old: str, new: str) -> None:
+        """The sort key and pruning column follow."""
         m, schema = self.manifest, self.schema
+        self._column(schema, old)
         if new in schema.names:
             raise ValueError(f"there is a column {new!r}")
         m.schemas.append(T.StructType([T.StructField(new, f.dataType, f.nullable) if f.name == old else f for f in schema]).json())
         m.renames.append([len(m.schemas) - 1, old, new])
         if old in m.defaults:
             m.defaults[new] = m.defaults.pop(old)
+        keys = parse_orderby(m.options.get("orderby") or "")
+        if old in [k.column for k in keys]:
+            m.options["orderby"] = ", ".join(replace(k, column=new).text() if k.column == old else k.text() for k in keys)
+        if m.options.get("pruning_column") == old:
+            m.options["pruning_column"] = new
         self.store.publish(m)
 
     def alter_type(self, name: str, kind: T.DataType, using: Column | str | None = None) -> None:
         """Rewrites the table with the column cast, or computed by ``using``."""
         m, schema = self.manifest, self.schema
+        self._column(schema, name)
         df = self._files(m, m.stripes, schema).drop(_FILE, _INDEX)
         value = F.col(f"`{name}`") if using is None else F.expr(using) if isinstance(using, str) else using
         df = df.select(*(value.cast(kind).alias(name) if c == name else F.col(f"`{c}`") for c in schema.names))

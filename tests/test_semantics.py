@@ -37,7 +37,7 @@ def test_uint8(spark, text):
     assert one(spark, uint8_recv(uint8_send(u))) == Decimal(text)
 
 
-@pytest.mark.parametrize("text", ["-1", "18446744073709551616", "1.5"])
+@pytest.mark.parametrize("text", ["-1", "18446744073709551616", "1.5", "5.00000000001", "0.99999999999"])
 def test_uint8_rejects(spark, text):
     with pytest.raises(Exception, match="out of range|OUT_OF_RANGE|RAISE"):
         one(spark, uint8(F.lit(text)))
@@ -54,6 +54,13 @@ def test_uint8_rejects(spark, text):
         ('{"a": true}', '{"a": false}', False),
         ('{"a": [1, 2]}', '{"a": [3]}', False),
         ('{"a": 1}', "{}", True),
+        ('{"k": 1e30}', '{"k": 1e30}', True),
+        ('{"k": 0.1}', '{"k": 0.10000000000001}', False),
+        ('{"k": 0.5}', '{"k": 0.5}', True),
+        ('{"it\'s": 1}', '{"it\'s": 1}', True),
+        ("[1, 2]", "1", True),
+        ("[1, 2]", "3", False),
+        ('{"a": [1]}', '{"a": 1}', False),
         (None, "{}", None),
     ],
 )

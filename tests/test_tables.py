@@ -178,7 +178,7 @@ def test_session_settings(spark):
     with pytest.raises(ValueError):
         Settings(compression_level=30)
     conf = Settings(compression="lz4", vectorization=False).conf()
-    assert conf["spark.sql.parquet.compression.codec"] == "lz4raw" and conf["spark.sql.codegen.wholeStage"] == "false"
+    assert conf["spark.sql.parquet.compression.codec"] == "lz4_raw" and conf["spark.sql.codegen.wholeStage"] == "false"
 
 
 def test_ranges_and_enums(spark):
@@ -192,3 +192,78 @@ def test_ranges_and_enums(spark):
     assert [(x.r.lower, x.r.upper) for x in ordered.collect()] == [(None, None), (None, 9), (2, 3), (2, 4)]
     moods = spark.createDataFrame([("ok",), ("sad",), (None,)], "m string").select(enum_ordinal("m", ["sad", "ok"]).alias("o"))
     assert [x.o for x in moods.collect()] == [2, 1, None]
+
+
+def test_two_writers_at_once(spark, tmp_path):
+    """Of writers that start from one version exactly one publishes the next, however close they are."""
+    import threading
+
+    t = make(spark, tmp_path, 10)
+    for _ in range(20):
+        barrier, out = threading.Barrier(4), []
+
+        def publish(m, barrier=barrier, out=out):
+            barrier.wait()
+            try:
+                Store(t.store.root if "://" in t.store.root else t.store.root).publish(m)
+                out.append(True)
+            except RuntimeError:
+                out.append(False)
+
+        writers = [threading.Thread(target=publish, args=(t.manifest,)) for _ in range(4)]
+        for w in writers:
+            w.start()
+        for w in writers:
+            w.join()
+        assert sorted(out) == [False, False, False, True]
+
+
+def test_nan_and_instants_prune_safely(spark, tmp_path, monkeypatch):
+    import datetime as dt
+    import time
+
+    t = make(spark, tmp_path, 2000)
+    for op in ("__lt__", "__le__", "__gt__", "__ge__", "__eq__"):
+        where = getattr(Field("v"), op)(float("nan"))
+        assert t.read(where).count() == t.read(where, pushdown=False).count()
+    when = dt.datetime(2024, 5, 1, 12)
+    u = ColTable.create_as(spark.createDataFrame([(when,)], "w timestamp").coalesce(1), f"file://{tmp_path}/u")
+    assert u.read(Field("w") == when).count() == 1 and u.prune_report(Field("w") > when)["stripes_removed"] == 1
+    span = u.manifest.stripes[0].ranges["w"]
+    assert span[0].tzinfo is not None and span[0].timestamp() == when.timestamp()
+    monkeypatch.setenv("TZ", "America/New_York")
+    time.tzset()
+    try:
+        here = dt.datetime.fromtimestamp(span[0].timestamp())
+        assert u.prune_report(Field("w") == here)["stripes_removed"] == 0
+    finally:
+        monkeypatch.undo()
+        time.tzset()
+
+
+def test_schema_changes_are_checked(spark, tmp_path):
+    t = make(spark, tmp_path, 10, orderby="k DESC, s")
+    for bad in (lambda: t.rename_column("nope", "x"), lambda: t.drop_column("nope"), lambda: t.alter_type("nope", T.LongType()), lambda: t.drop_column("k"), lambda: t.insert(t.read().withColumn("more", F.lit(1)))):
+        with pytest.raises(ValueError):
+            bad()
+    t.rename_column("k", "key")
+    t.insert(t.read())
+    assert t.manifest.options["orderby"].startswith('"key" DESC') and t.count() == 20
+    t.insert(spark.createDataFrame([(7,)], "key long"))
+    assert t.read("key = 7 and v is null and s is null").count() == 1
+    r = make(spark, f"{tmp_path}/r", 10, RowTable, pruning_column="k")
+    r.rename_column("k", "key")
+    assert r.manifest.options["pruning_column"] == "key"
+
+
+def test_update_evaluates_once(spark, tmp_path):
+    t = make(spark, tmp_path, 3000)
+    n = t.update({"s": "'hit'"}, "rand() < 0.5")
+    assert 0 < n < 3000 and t.count() == t.read().count() == t.read().select("k").distinct().count() == 3000
+    assert t.read("s = 'hit'").count() == n
+
+
+def test_excluded_in_a_literal(spark, tmp_path):
+    t = make(spark, tmp_path, 3)
+    t.upsert(spark.createDataFrame([(1, 9.0, "x")], SCHEMA), ["k"], {"s": "concat('excluded.s ', excluded.s)"})
+    assert t.read("k = 1").first().s == "excluded.s x"
