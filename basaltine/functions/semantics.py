@@ -92,13 +92,14 @@ def _step(path: str, key: str) -> str:
 
 
 def _contains(c: Column, value, path: str) -> Column:
-    whole = F.try_variant_get(c, path, "variant")
-    kind = F.schema_of_variant(whole)
+    # The kind, whose text is dear, is asked last: of what holds the value already.
+    kind = F.schema_of_variant(F.try_variant_get(c, path, "variant"))
     if isinstance(value, dict):
-        out = F.coalesce(kind.startswith("OBJECT"), F.lit(False))
+        out = None  # a path to a key leads through objects only
         for k, v in value.items():
-            out = out & _contains(c, v, _step(path, k))
-        return out
+            one = _contains(c, v, _step(path, k))
+            out = one if out is None else out & one
+        return F.coalesce(kind.startswith("OBJECT"), F.lit(False)) if out is None else out
     if isinstance(value, list):
         items = F.try_variant_get(c, path, "array<variant>")
         out = items.isNotNull()
@@ -108,17 +109,16 @@ def _contains(c: Column, value, path: str) -> Column:
     if value is None:
         return F.coalesce(kind == "VOID", F.lit(False))
     if isinstance(value, bool):
-        return F.coalesce((kind == "BOOLEAN") & (F.try_variant_get(c, path, "boolean") == value), F.lit(False))
+        return F.coalesce((F.try_variant_get(c, path, "boolean") == value) & (kind == "BOOLEAN"), F.lit(False))
     if isinstance(value, int | float):
-        # Numbers within 38 digits are compared as such, all others as doubles.
-        numeric = kind.startswith("DECIMAL") | kind.isin("BIGINT", "DOUBLE", "FLOAT", "INT")
-        number = Decimal(repr(value))
         same = F.try_variant_get(c, path, "double") == float(value)
-        if number == number.quantize(Decimal(1)) if abs(number) < 10**27 else False:
-            exact = F.try_variant_get(c, path, "decimal(38,10)") == F.lit(str(number.quantize(Decimal(1)))).cast("decimal(38,10)")
-            same = F.when(kind.isin("DOUBLE", "FLOAT"), same).otherwise(exact & (same | F.lit(abs(number) > 2**53)))
-        return F.coalesce(numeric & same, F.lit(False))
-    return F.coalesce((kind == "STRING") & (F.try_variant_get(c, path, "string") == value), F.lit(False))
+        number, double = Decimal(repr(value)), kind.isin("DOUBLE", "FLOAT")
+        if abs(number) < 10**27 and number == int(number):  # whole numbers are compared by all their digits
+            exact = double | (F.try_variant_get(c, path, "decimal(38,10)") == F.lit(str(int(number))).cast("decimal(38,10)"))
+        else:
+            exact = F.lit(True)
+        return F.coalesce(same & (kind.startswith("DECIMAL") | double | kind.isin("BIGINT", "INT")) & exact, F.lit(False))
+    return F.coalesce((F.try_variant_get(c, path, "string") == value) & (kind == "STRING"), F.lit(False))
 
 
 def jsonb_contains(column: str | Column, value: str | dict | list) -> Column:
