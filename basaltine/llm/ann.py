@@ -41,7 +41,7 @@ def _single(x: np.ndarray) -> np.ndarray:
     return np.clip(x, -1e15, 1e15).astype(np.float32)
 
 
-def solved_near(a: np.ndarray, b: np.ndarray, x: np.ndarray, turns: int = 200, gap: float = 1e-8) -> np.ndarray:
+def solved_near(a: np.ndarray, b: np.ndarray, x: np.ndarray, turns: int = 200, gap: float = 1e-5) -> np.ndarray:
     """a @ x = b for symmetric positive definite a by conjugate gradients from a start, scaled by the diagonal.
 
     In products alone: LAPACK's threads may hang beside a JVM.
@@ -162,7 +162,7 @@ def build(vectors: DataFrame, books: int = 8, beam: int = 8) -> tuple[DataFrame,
     return written(index), fitted.value, dim
 
 
-def search(index: DataFrame, quantiser: Quantiser | None, dim: int, queries: DataFrame, k: int = 10, rerank: int | None = 320) -> DataFrame:
+def search(index: DataFrame, quantiser: Quantiser | None, dim: int, queries: DataFrame, k: int = 10, rerank: int | None = 768) -> DataFrame:
     """(vec_id, embedding) queries to (query_id, rank, vec_id, score): the k nearest found.
 
     Of every bucket of the index, each query's best ``rerank`` distinct vectors by lookup tables, and
