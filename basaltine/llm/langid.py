@@ -93,7 +93,7 @@ class Level:
 
 
 #: Entries that are summed at once.
-_ENTRIES = 4_000_000
+_ENTRIES = 1_000_000
 
 
 @dataclass
