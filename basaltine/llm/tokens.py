@@ -29,11 +29,12 @@ from .common import kept, map_arrow, partitions, shared_dir
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\\sa-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PLAIN = re.compile("[\x21-\x7e\xa1-\xff]*")
+_PLAIN_TEXT = re.compile("[\t-\r\x20-\x7e\x85\xa0-\xff]*")
 # White space of the tokenizers' library, which lacks \x1c-\x1f of str.split().
 _WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _ODD = re.compile("[\x1c-\x1f]")
 #: Length of a cached run, and cached runs and pre-tokens, at most. The caches are a worker's largest memory.
-_LONGEST, _RUNS, _WORDS = 48, 250_000, 250_000
+_LONGEST, _RUNS, _WORDS = 48, 100_000, 400_000
 
 
 def _byte_chars() -> dict[int, str]:
@@ -50,7 +51,7 @@ class _Pieces(dict):
         self.model, self.chars = model, _byte_chars()
 
     def __missing__(self, piece: str) -> bytes:
-        word = piece.encode().decode("latin-1").translate(self.chars)
+        word = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.chars)
         ids = [t.id for t in self.model.tokenize(word)]
         out = struct.pack(f"<{len(ids)}I", *ids)
         if len(self) < _WORDS and len(piece) <= _LONGEST:
@@ -65,11 +66,18 @@ class _Chunks(dict):
         self.tokenizer, self.pieces = tokenizer, _Pieces(tokenizer.model)
         self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
+    def special(self, text: str) -> bool:
+        return "<" in text and any(t in text for t in self.added)
+
+    def plain(self, text: str) -> bytes:
+        """Of a text within Latin-1 without added tokens; its pieces hold no white space, so it may have several runs."""
+        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text.lower())))
+
     def __missing__(self, chunk: str) -> bytes:
         if chunk.isascii() and chunk[:-1].isalpha() and chunk.isprintable():  # letters, and perhaps one mark or digit
             out = self.pieces[chunk.lower()] if chunk.isalpha() else self.pieces[chunk[:-1].lower()] + self.pieces[chunk[-1]]
-        elif _PLAIN.fullmatch(chunk) and not ("<" in chunk and any(t in chunk for t in self.added)):
-            out = b"".join(map(self.pieces.__getitem__, _PIECES.findall(chunk.lower())))
+        elif _PLAIN.fullmatch(chunk) and not self.special(chunk):
+            out = self.plain(chunk)
         else:
             ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
             out = struct.pack(f"<{len(ids)}I", *ids)
@@ -82,8 +90,8 @@ class Encoder:
     """Exactly the library's ids, as little-endian unsigned 32-bit bytes.
 
     A vocabulary that drops white space and splits words by the pattern above encodes each
-    run without white space by itself, so runs are looked up in a cache first. Any other
-    vocabulary encodes whole texts.
+    piece of a text within Latin-1 by itself, so pieces are looked up in a cache; of other texts
+    each run without white space is. Any other vocabulary encodes whole texts.
     """
 
     def __init__(self, path: str):
@@ -105,6 +113,8 @@ class Encoder:
         if self.chunks is None:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
+        if _PLAIN_TEXT.fullmatch(text) and not self.chunks.special(text):
+            return self.chunks.plain(text)
         runs = [x for x in _WHITE.split(text) if x] if _ODD.search(text) else text.split()
         return b"".join(map(self.chunks.__getitem__, runs))
 
