@@ -40,14 +40,20 @@ class Manifest:
     #: Renamed columns: (schema version from which, old name, new name).
     renames: list[list] = field(default_factory=list)
     stripes: list[Stripe] = field(default_factory=list)
-    #: Folders of deletion vectors (file, row_index).
+    #: Folders of deletion vectors, and the bytes of their bitmaps.
     masks: list[str] = field(default_factory=list)
+    mask_bytes: int = 0
+    #: Files that each folder was written with.
+    folders: dict[str, int] = field(default_factory=dict)
     next_row_number: int = 1
     next_stripe: int = 1
     version: int = 0
     #: A bulk update in progress.
     progress: dict[str, Any] | None = None
 
+    def unmask(self) -> None:
+        self.masks, self.mask_bytes = [], 0
+
 
 def _plain(x):
     for kind, name in ((Decimal, "decimal"), (dt.datetime, "timestamp"), (dt.date, "date"), (bytes, "bytes")):
@@ -92,6 +98,8 @@ class Store:
 
     def publish(self, m: Manifest) -> Manifest:
         m.version += 1
+        used = {s.file.rpartition("/")[0] for s in m.stripes}
+        m.folders = {f: n for f, n in m.folders.items() if f in used}
         path = f"{self.root}/manifest/{m.version:010d}.json"
         self.fs.create_dir(f"{self.root}/manifest", recursive=True)
         if self.fs.get_file_info(path).type != fs.FileType.NotFound:

@@ -1,7 +1,7 @@
 """Columnar and row-batch tables: Parquet files with ranges, row masks and maintenance.
 
 A stripe (or batch) is one Parquet file. The manifest lists files with their row counts, row
-numbers and ranges; readers prune files by it, then filter. Deletes append (file, row index) to a
+numbers and ranges; readers prune files by it, then filter. Deletes append bitmaps of row indexes to a
 row mask; updates delete and insert. Every change writes new files and then publishes one manifest,
 so readers see a whole state and a failed writer leaves none.
 """
@@ -24,11 +24,24 @@ from .manifest import Manifest, Store, Stripe
 from .options import ColOptions, RowOptions, parse_orderby
 
 _FILE, _INDEX = "__file", "__row_index"
+
+#: Row mask: for each file and block of rows the bits of deleted rows, as far as the last one.
+_BLOCK = 8192
+_BITS = "file string, block long, words array<bigint>"
+#: A mask of more bytes is joined by a shuffle, a smaller one is sent to all tasks.
+_SENT_MASK = 64 << 20
+
+#: More files are read by their folders: Spark lists many single paths in a job with a task for each few.
+_BY_PATH = 32
+
 _NO_RANGE = (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.VariantType, T.NullType)
 
 #: A literal, which stays, or what names the given row.
 _EXCLUDED = re.compile(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|\bexcluded\.", re.I)
 
+#: Task and file within it, in the names that Spark gives.
+_PART = re.compile(r"part-(\d+)-.*-c(\d+)")
+
 Where = Pred | Column | str | None
 Sets = dict[str, Column | str]
 
@@ -38,6 +51,18 @@ def _instant(x: Any, field: T.StructField) -> Any:
     return x.astimezone(dt.timezone.utc) if isinstance(field.dataType, T.TimestampType) else x
 
 
+def _name(s: Stripe) -> str:
+    return s.file.rpartition("/")[2]
+
+
+def _bits(rows: DataFrame) -> DataFrame:
+    """A row mask of (file, row index)."""
+    word = F.floor(F.col("row_index") % _BLOCK / 64).cast("int")
+    words = rows.groupBy("file", F.floor(F.col("row_index") / _BLOCK).cast("long").alias("block"), word.alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(row_index % 64 as int)))").alias("bits"))
+    found = words.groupBy("file", "block").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("by"), F.max("word").alias("last"))
+    return found.select("file", "block", F.expr("transform(sequence(0, last), w -> coalesce(try_element_at(by, w), 0L))").alias("words"))
+
+
 class Table:
     """What both layouts share."""
 
@@ -132,7 +157,6 @@ class Table:
         parts = []
         for version in sorted({s.schema_version for s in stripes}):
             own = T.StructType.fromJson(json.loads(m.schemas[version]))
-            df = self.spark.read.schema(own).parquet(*(f"{self.path}/{s.file}" for s in stripes if s.schema_version == version))
             columns = []
             for f in schema:
                 old = self._names_at(m, version, f.name)
@@ -141,16 +165,46 @@ class Table:
                     columns.append(F.lit(default).cast(f.dataType).alias(f.name))
                 else:
                     columns.append(F.col(f"`{old}`").cast(f.dataType).alias(f.name))
-            parts.append(df.select(*columns, F.col("_metadata.file_name").alias(_FILE), F.col("_metadata.row_index").alias(_INDEX)))
+            for df in self._scans(m, [s for s in stripes if s.schema_version == version], own):
+                parts.append(df.select(*columns, F.col("_metadata.file_name").alias(_FILE), F.col("_metadata.row_index").alias(_INDEX)))
         if not parts:
             return self.spark.createDataFrame([], T.StructType([*schema.fields, T.StructField(_FILE, T.StringType()), T.StructField(_INDEX, T.LongType())]))
         df = parts[0]
         for p in parts[1:]:
             df = df.unionByName(p)
-        if mask and m.masks and any(s.deleted for s in stripes):
-            gone = self.spark.read.parquet(*(f"{self.path}/{p}" for p in m.masks))
-            df = df.join(gone.select(F.col("file").alias(_FILE), F.col("row_index").alias(_INDEX)), [_FILE, _INDEX], "left_anti")
-        return df
+        return self._unmasked(m, df) if mask and m.masks and any(s.deleted for s in stripes) else df
+
+    def _scans(self, m: Manifest, stripes: list[Stripe], own: T.StructType) -> list[DataFrame]:
+        """Files of one schema version: a few by their paths, many by their folders."""
+        read = self.spark.read.schema(own).parquet
+        if len(stripes) <= _BY_PATH:
+            return [read(*(f"{self.path}/{s.file}" for s in stripes))]
+        by: dict[str, list[str]] = {}
+        for s in stripes:
+            by.setdefault(s.file.rpartition("/")[0], []).append(_name(s))
+        whole = [f for f, names in by.items() if m.folders.get(f) == len(names)]
+        partly = sorted(by.keys() - set(whole))
+        out = [read(*(f"{self.path}/{f}" for f in whole))] if whole else []
+        if partly:  # a filter on file names, by which Spark leaves out the others before it reads
+            names = ", ".join(f"'{n}'" for f in partly for n in by[f])
+            out.append(read(*(f"{self.path}/{f}" for f in partly)).where(f"_metadata.file_name IN ({names})"))
+        return out
+
+    def _unmasked(self, m: Manifest, df: DataFrame) -> DataFrame:
+        """Rows that the row mask leaves."""
+        rows = [p for p in m.masks if p.startswith("masks/")]  # of earlier releases: (file, row index)
+        bits = [p for p in m.masks if not p.startswith("masks/")]
+        gone = self.spark.read.schema(_BITS).parquet(*(f"{self.path}/{p}" for p in bits)) if bits else None
+        if rows:
+            old = _bits(self.spark.read.schema("file string, row_index long").parquet(*(f"{self.path}/{p}" for p in rows)))
+            gone = old if gone is None else gone.unionByName(old)
+        if len(m.masks) > 1:
+            merged = "reduce(collect_list(words), cast(array() as array<bigint>), (a, b) -> zip_with(a, b, (x, y) -> coalesce(x, 0L) | coalesce(y, 0L)))"
+            gone = gone.groupBy("file", "block").agg(F.expr(merged).alias("words"))
+        gone = gone.select(F.col("file").alias(_FILE), F.col("block").alias("__block"), F.col("words").alias("__words")).hint("merge" if rows or m.mask_bytes > _SENT_MASK else "broadcast")
+        at = df.withColumn("__block", F.floor(F.col(_INDEX) / _BLOCK).cast("long")).join(gone, [_FILE, "__block"], "left")
+        word = F.get("__words", F.floor(F.col(_INDEX) % _BLOCK / 64).cast("int"))
+        return at.where(F.coalesce(F.getbit(word, (F.col(_INDEX) % 64).cast("int")), F.lit(0)) == 0).select(*(F.col(f"`{c}`") for c in df.columns))
 
     def _prunable(self, m: Manifest, name: str) -> bool:
         return True
@@ -245,7 +299,8 @@ class Table:
                 aggs.append(F.max(F.isnan(c)).alias(f"nan{i}"))
         found = made.groupBy(F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_size").alias("size")).agg(*aggs).collect()  # a row for each file
         out = []
-        for r in sorted((x.asDict() for x in found), key=lambda x: x["f"]):
+        m.folders[folder] = len(found)
+        for r in sorted((x.asDict() for x in found), key=lambda x: [int(n) for n in _PART.match(x["f"]).groups()]):
             ranges = {f.name: [_instant(r[f"a{i}"], f), _instant(r[f"b{i}"], f)] for i, f in enumerate(ranged) if r[f"a{i}"] is not None and not r.get(f"nan{i}")}
             nulls = {f.name: r[f"u{i}"] for i, f in enumerate(schema)}
             out.append(Stripe(m.next_stripe, f"{folder}/{r['f']}", r["n"], m.next_row_number, r["size"], len(m.schemas) - 1, ranges, nulls))
@@ -274,15 +329,18 @@ class Table:
         self.read(where).write.options(**options).csv(path)
 
     def _mask(self, m: Manifest, matched: DataFrame) -> int:
-        """Add (file, row index) of matched rows to the row mask."""
-        folder = f"masks/{uuid.uuid4().hex}"
-        matched.select(F.col(_FILE).alias("file"), F.col(_INDEX).alias("row_index")).write.parquet(f"{self.path}/{folder}")
-        by_file = {r.file: r.n for r in self.spark.read.schema("file string, row_index long").parquet(f"{self.path}/{folder}").groupBy("file").agg(F.count(F.lit(1)).alias("n")).collect()}
+        """Add matched rows to the row mask."""
+        folder = f"bits/{uuid.uuid4().hex}"
+        _bits(matched.select(F.col(_FILE).alias("file"), F.col(_INDEX).alias("row_index"))).write.parquet(f"{self.path}/{folder}")
+        rows = F.sum(F.expr("reduce(words, 0L, (a, w) -> a + bit_count(w))"))
+        by_file = {r.file: r for r in self.spark.read.schema(_BITS).parquet(f"{self.path}/{folder}").groupBy("file").agg(rows.alias("n"), F.sum(F.size("words") * 8 + 150).alias("bytes")).collect()}
         for s in m.stripes:
-            s.deleted += by_file.get(s.file.rpartition("/")[2], 0)
+            if r := by_file.get(_name(s)):
+                s.deleted += r.n
         if by_file:
             m.masks.append(folder)
-        return sum(by_file.values())
+            m.mask_bytes += sum(r.bytes for r in by_file.values())
+        return sum(r.n for r in by_file.values())
 
     def _matched(self, m: Manifest, where: Pred | None) -> DataFrame:
         df = self._files(m, self._kept(m, where), T.StructType.fromJson(json.loads(m.schemas[-1])))
@@ -358,7 +416,8 @@ class Table:
 
     def truncate(self) -> None:
         m = self.manifest
-        m.stripes, m.masks = [], []
+        m.stripes = []
+        m.unmask()
         self.store.publish(m)
 
     def drop(self) -> None:
@@ -416,7 +475,8 @@ class Table:
         value = F.col(f"`{name}`") if using is None else F.expr(using) if isinstance(using, str) else using
         df = df.select(*(value.cast(kind).alias(name) if c == name else F.col(f"`{c}`") for c in schema.names))
         m.schemas.append(T.StructType([T.StructField(name, kind) if f.name == name else f for f in schema]).json())
-        m.stripes, m.masks = self._written(df, m), []
+        m.stripes = self._written(df, m)
+        m.unmask()
         self.store.publish(m)
 
     # -------------------------------------------------------- maintenance
@@ -435,7 +495,7 @@ class Table:
         gone = {s.num for s in thin}
         m.stripes = [s for s in m.stripes if s.num not in gone] + new
         if not any(s.deleted for s in m.stripes):
-            m.masks = []
+            m.unmask()
         self.store.publish(m)
         return len(thin)
 
@@ -463,7 +523,8 @@ class ColTable(Table):
         if keys:
             many = max(1, -(-self.count() // m.options["stripe_row_limit"]))
             df = df.repartitionByRange(many, *keys).sortWithinPartitions(*keys)
-        m.stripes, m.masks = self._written(df, m, ordered=True), []
+        m.stripes = self._written(df, m, ordered=True)
+        m.unmask()
         self.store.publish(m)
         return sum(s.row_count for s in m.stripes)
 
@@ -530,7 +591,7 @@ class ColTable(Table):
         gone = {s.num for s in small}
         m.stripes = [s for s in m.stripes if s.num not in gone] + new
         if not any(s.deleted for s in m.stripes):
-            m.masks = []
+            m.unmask()
         self.store.publish(m)
         return len(small)
 
@@ -556,7 +617,8 @@ class RowTable(Table):
     def repack(self, min_fill_ratio: float = 1.0) -> int:
         """Rewrite all live rows with today's options."""
         m = self.manifest
-        m.stripes, m.masks = self._written(self._live(m, m.stripes), m), []
+        m.stripes = self._written(self._live(m, m.stripes), m)
+        m.unmask()
         self.store.publish(m)
         return len(m.stripes)
 

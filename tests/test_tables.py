@@ -267,3 +267,45 @@ def test_excluded_in_a_literal(spark, tmp_path):
     t = make(spark, tmp_path, 3)
     t.upsert(spark.createDataFrame([(1, 9.0, "x")], SCHEMA), ["k"], {"s": "concat('excluded.s ', excluded.s)"})
     assert t.read("k = 1").first().s == "excluded.s x"
+
+
+def test_row_mask_is_a_bitmap_for_each_file(spark, tmp_path, monkeypatch):
+    """What tasks are sent of a row mask doesn't grow with its rows: one entry for 8192 rows of a file."""
+    from basaltine.sources import table
+
+    t = make(spark, tmp_path, 20_000, stripe_row_limit=9000)
+    assert t.delete("k % 2 = 0") == 10_000
+    m = t.manifest
+    assert spark.read.parquet(*(f"{t.path}/{p}" for p in m.masks)).count() == 5
+    assert [s.deleted for s in m.stripes] == [4500, 4500, 1000]
+    want = list(range(1, 20_000, 2))
+    assert sorted(r.k for r in t.read().collect()) == want
+    # A second mask, of which a file has fewer words, and one of an earlier release.
+    assert t.delete("k % 4 = 1 and k < 9100") == 2275 and t.delete("k % 4 = 1 and k < 9100") == 0
+    m = t.manifest
+    spark.createDataFrame([(m.stripes[2].file.rpartition("/")[2], 1999)], "file string, row_index long").write.parquet(f"{t.path}/masks/old")
+    m.masks.append("masks/old")
+    t.store.publish(m)
+    want = [k for k in want if not (k % 4 == 1 and k < 9100) and k != 19_999]
+    assert sorted(r.k for r in t.read().collect()) == want
+    monkeypatch.setattr(table, "_SENT_MASK", 0)
+    t.set_options(compression="none")
+    assert sorted(r.k for r in t.read().collect()) == want
+    assert t.merge() == len(want) and t.manifest.mask_bytes == 0 and t.count() == t.read().count() == len(want)
+
+
+def test_many_files_are_listed_by_folder_and_in_order(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameReader
+
+    t = make(spark, tmp_path, 100_550, RowTable, batch_size=100)
+    stripes = t.manifest.stripes
+    assert [s.ranges["k"][0] for s in stripes] == list(range(0, 100_550, 100)) and [s.row_count for s in stripes[-2:]] == [100, 50]
+    given, parquet = [], DataFrameReader.parquet
+    monkeypatch.setattr(DataFrameReader, "parquet", lambda self, *paths, **options: (given.append(paths), parquet(self, *paths, **options))[1])
+    assert t.read().count() == 100_550 and len(given[-1]) == 1
+    # A folder of which the table has only some files.
+    m = t.manifest
+    m.stripes = m.stripes[:5] + m.stripes[500:700]
+    t.store.publish(m)
+    assert t.read().agg(F.count("k"), F.min("k"), F.max("k")).first() == (20_500, 0, 69_999) and len(given[-1]) == 1
+    assert t.read().where("k between 500 and 49999").count() == 0
