@@ -309,3 +309,10 @@ def test_many_files_are_listed_by_folder_and_in_order(spark, tmp_path, monkeypat
     t.store.publish(m)
     assert t.read().agg(F.count("k"), F.min("k"), F.max("k")).first() == (20_500, 0, 69_999) and len(given[-1]) == 1
     assert t.read().where("k between 500 and 49999").count() == 0
+
+
+def test_row_batches_masked_and_updated(spark, tmp_path):
+    t = make(spark, tmp_path, 5000, RowTable)
+    assert t.delete("k <= 100") == 101 and t.update({"v": "v + k"}, "k % 2 = 0") == 2449
+    assert spark.read.parquet(*(f"{t.path}/{p}" for p in t.manifest.masks)).count() == 6  # by file, not by row
+    assert sorted((r.k, r.v) for r in t.read().collect()) == [(k, k * 0.5 + k * (k % 2 == 0)) for k in range(101, 5000)]
