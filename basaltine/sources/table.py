@@ -39,6 +39,9 @@ _NO_RANGE = (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.VariantType,
 #: A literal, which stays, or what names the given row.
 _EXCLUDED = re.compile(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|\bexcluded\.", re.I)
 
+#: Rounds of a bulk update, so that jobs and manifests don't grow with the table; a failure costs one of them.
+_ROUNDS = 8
+
 #: Task and file within it, in the names that Spark gives.
 _PART = re.compile(r"part-(\d+)-.*-c(\d+)")
 
@@ -543,35 +546,41 @@ class ColTable(Table):
         return len(touched)
 
     def bulk_update(self, sets: Sets, where: Where = None, batch_size: int = 50_000, skip_columns: list[str] | None = None) -> int:
-        """``smart_update`` in batches of stripes of about ``batch_size`` rows, each published with its progress.
+        """``smart_update`` in batches of stripes of about ``batch_size`` rows, in at most ``_ROUNDS`` rounds of as many
+        batches, each published with its progress. Batches without a match stay as they are.
 
-        After a failure the same call goes on behind the last published batch.
+        After a failure the same call goes on behind the last published round.
         """
         if both := set(skip_columns or ()) & set(sets):
             raise ValueError(f"skipped columns are set: {', '.join(sorted(both))}")
         m, pred = self.manifest, predicate(where)
+        schema = T.StructType.fromJson(json.loads(m.schemas[-1]))
         job = json.dumps([{k: str(v) for k, v in sets.items()}, str(where)])
         if not m.progress or m.progress["job"] != job:
             m.progress = {"job": job, "left": [s.num for s in m.stripes], "updated": 0}
             self.store.publish(m)
         when = F.lit(True) if pred is None else F.coalesce(pred.column(), F.lit(False))
-        while m.progress["left"]:
-            batch, rows, by_num = [], 0, {s.num: s for s in m.stripes}
-            while m.progress["left"] and (not batch or rows < batch_size):
-                num = m.progress["left"].pop(0)
-                if num in by_num:
-                    batch.append(by_num[num])
-                    rows += by_num[num].row_count
-            kept = {s.num for s in self._kept(replace_stripes(m, batch), pred)}
-            batch = [s for s in batch if s.num in kept]
-            if batch:
-                live = self._live(m, batch)
-                n = live.where(when).count()
-                if n:
-                    new = self._written(self._set(live, sets, when), m)
-                    gone = {s.num for s in batch}
-                    m.stripes = [s for s in m.stripes if s.num not in gone] + new
-                    m.progress["updated"] += n
+        by_num, rows = {s.num: s for s in m.stripes}, batch_size
+        batches: list[list[Stripe]] = []
+        for s in (by_num[n] for n in m.progress["left"] if n in by_num):
+            if rows >= batch_size:
+                batches.append([])
+                rows = 0
+            batches[-1].append(s)
+            rows += s.row_count
+        many = -(-len(batches) // _ROUNDS)
+        while batches:
+            now, batches = batches[:many], batches[many:]
+            m.progress["left"] = [s.num for b in batches for s in b]
+            kept = self._kept(replace_stripes(m, [s for b in now for s in b]), pred)
+            found = self._files(m, kept, schema).where(when).groupBy(_FILE).agg(F.count(F.lit(1)).alias("n")).collect() if kept else []
+            if found:
+                hits, nums = {r[0] for r in found}, {s.num for s in kept}
+                touched = [s for b in now if any(_name(s) in hits for s in b) for s in b if s.num in nums]
+                new = self._written(self._set(self._live(m, touched), sets, when), m)
+                gone = {s.num for s in touched}
+                m.stripes = [s for s in m.stripes if s.num not in gone] + new
+                m.progress["updated"] += sum(r.n for r in found)
             self.store.publish(m)
         done = m.progress["updated"]
         m.progress = None

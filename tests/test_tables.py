@@ -316,3 +316,17 @@ def test_row_batches_masked_and_updated(spark, tmp_path):
     assert t.delete("k <= 100") == 101 and t.update({"v": "v + k"}, "k % 2 = 0") == 2449
     assert spark.read.parquet(*(f"{t.path}/{p}" for p in t.manifest.masks)).count() == 6  # by file, not by row
     assert sorted((r.k, r.v) for r in t.read().collect()) == [(k, k * 0.5 + k * (k % 2 == 0)) for k in range(101, 5000)]
+
+
+def test_bulk_update_publishes_a_bounded_number_of_times(spark, tmp_path, monkeypatch):
+    from basaltine.sources import table
+
+    t = make(spark, tmp_path, 12_000)
+    publish, calls = Store.publish, []
+    monkeypatch.setattr(table, "_ROUNDS", 3)
+    monkeypatch.setattr(Store, "publish", lambda self, m: (calls.append(list(m.progress["left"]) if m.progress else None), publish(self, m))[1])
+    before = {s.file for s in t.manifest.stripes}
+    assert t.bulk_update({"v": "-1"}, "k % 2 = 0 and k between 3500 and 4499", batch_size=1000) == 500
+    assert [c if c is None else len(c) for c in calls] == [12, 8, 4, 0, None]
+    assert len(before & {s.file for s in t.manifest.stripes}) == 10  # two batches of twelve hold a match
+    assert t.count() == t.read().count() == 12_000 and t.read("v = -1 and k % 2 = 0 and k between 3500 and 4499").count() == t.read("v = -1").count() == 500
