@@ -39,6 +39,9 @@ _NO_RANGE = (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.VariantType,
 #: A literal, which stays, or what names the given row.
 _EXCLUDED = re.compile(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|\bexcluded\.", re.I)
 
+#: Rows for one task of a merge or vacuum, which cuts them into files itself: a task for each file is too many.
+_TASK_ROWS = 250_000
+
 #: Rounds of a bulk update, so that jobs and manifests don't grow with the table; a failure costs one of them.
 _ROUNDS = 8
 
@@ -519,12 +522,17 @@ class ColTable(Table):
 
     layout, Options = "columnar", ColOptions
 
+    def _tasks(self, m: Manifest, stripes: list[Stripe]) -> int:
+        """Tasks that rewrite stripes, each for whole stripes of about ``_TASK_ROWS`` rows, or for one."""
+        limit = m.options["stripe_row_limit"]
+        return max(1, -(-sum(s.row_count - s.deleted for s in stripes) // (limit * max(1, _TASK_ROWS // limit))))
+
     def merge(self) -> int:
         """Rewrite all live rows, globally ordered by the sort key if there is one."""
         m = self.manifest
         df, keys = self._live(m, m.stripes), [k.order() for k in parse_orderby(m.options["orderby"])]
         if keys:
-            many = max(1, -(-self.count() // m.options["stripe_row_limit"]))
+            many = self._tasks(m, m.stripes)
             df = df.repartitionByRange(many, *keys).sortWithinPartitions(*keys)
         m.stripes = self._written(df, m, ordered=True)
         m.unmask()

@@ -330,3 +330,16 @@ def test_bulk_update_publishes_a_bounded_number_of_times(spark, tmp_path, monkey
     assert [c if c is None else len(c) for c in calls] == [12, 8, 4, 0, None]
     assert len(before & {s.file for s in t.manifest.stripes}) == 10  # two batches of twelve hold a match
     assert t.count() == t.read().count() == 12_000 and t.read("v = -1 and k % 2 = 0 and k between 3500 and 4499").count() == t.read("v = -1").count() == 500
+
+
+def test_merge_takes_a_task_for_many_stripes(spark, tmp_path, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    t = make(spark, tmp_path, 12_000, orderby="k DESC")
+    t.insert(t.read())
+    given, by_range = [], DataFrame.repartitionByRange
+    monkeypatch.setattr(DataFrame, "repartitionByRange", lambda self, n, *keys: (given.append(n), by_range(self, n, *keys))[1])
+    assert t.merge() == 24_000 and given == [1]
+    stripes = t.manifest.stripes
+    assert [s.row_count for s in stripes] == [1000] * 24
+    assert all(a.ranges["k"][0] >= b.ranges["k"][1] for a, b in zip(stripes, stripes[1:], strict=False))
