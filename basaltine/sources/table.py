@@ -603,8 +603,9 @@ class ColTable(Table):
         if len(small) < 2 and not any(s.deleted * 5 > s.row_count for s in small):
             return 0
         live = self._live(m, small)
-        many = max(1, -(-sum(s.row_count - s.deleted for s in small) // limit))
-        new = self._written(live.repartition(many) if many > 1 else live.coalesce(1), m)
+        many = self._tasks(m, small)
+        # Tasks of many stripes fill all but their last; for few, rows are dealt evenly.
+        new = self._written(live.repartition(many) if many > 1 and limit * 8 > _TASK_ROWS else live.coalesce(many), m)
         gone = {s.num for s in small}
         m.stripes = [s for s in m.stripes if s.num not in gone] + new
         if not any(s.deleted for s in m.stripes):

@@ -343,3 +343,12 @@ def test_merge_takes_a_task_for_many_stripes(spark, tmp_path, monkeypatch):
     stripes = t.manifest.stripes
     assert [s.row_count for s in stripes] == [1000] * 24
     assert all(a.ranges["k"][0] >= b.ranges["k"][1] for a, b in zip(stripes, stripes[1:], strict=False))
+
+
+def test_vacuum_takes_a_task_for_many_stripes(spark, tmp_path):
+    t = make(spark, tmp_path, 12_000)
+    t.delete("k % 4 = 0")
+    assert t.vacuum() == 12
+    stripes = t.manifest.stripes
+    assert [s.row_count for s in stripes] == [1000] * 9 and len({s.file.rpartition("/")[2].split("-")[1] for s in stripes}) == 1
+    assert sorted(r.k for r in t.read().collect()) == [k for k in range(12_000) if k % 4]
