@@ -352,3 +352,16 @@ def test_vacuum_takes_a_task_for_many_stripes(spark, tmp_path):
     stripes = t.manifest.stripes
     assert [s.row_count for s in stripes] == [1000] * 9 and len({s.file.rpartition("/")[2].split("-")[1] for s in stripes}) == 1
     assert sorted(r.k for r in t.read().collect()) == [k for k in range(12_000) if k % 4]
+
+
+@pytest.mark.parametrize("change", [lambda t: t.repack(0.9), lambda t: t.vacuum(2)])
+def test_rewrites_read_a_small_mask(spark, tmp_path, change):
+    """Also where stripes stay masked beside those rewritten, and entries of the mask are of files that went."""
+    t = make(spark, tmp_path, 6000)
+    t.delete("k < 2000 and k % 2 = 0 or k >= 2000 and k % 50 = 0")
+    assert spark.read.parquet(*(f"{t.path}/{p}" for p in t.manifest.masks)).count() == 6
+    assert change(t) == 2
+    m = t.manifest
+    assert sorted(s.deleted for s in m.stripes)[-4:] == [20] * 4 and m.masks
+    want = [k for k in range(6000) if (k % 2 if k < 2000 else k % 50)]
+    assert t.count() == len(want) and sorted(r.k for r in t.read().collect()) == want
