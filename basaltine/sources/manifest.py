@@ -15,7 +15,7 @@ from pyarrow import fs
 
 @dataclass
 class Stripe:
-    """A data file: its rows, its place in the row numbers, and ranges of its columns as written."""
+    """A data file, or a batch in it: its rows, its place in the row numbers, and ranges of its columns as written."""
 
     num: int
     file: str
@@ -26,6 +26,8 @@ class Stripe:
     ranges: dict[str, list] = field(default_factory=dict)
     nulls: dict[str, int] = field(default_factory=dict)
     deleted: int = 0
+    #: Place in a file of several batches; None is a file of its own.
+    batch: int | None = None
 
 
 @dataclass
@@ -43,8 +45,10 @@ class Manifest:
     #: Folders of deletion vectors, and the bytes of their bitmaps.
     masks: list[str] = field(default_factory=list)
     mask_bytes: int = 0
-    #: Files that each folder was written with.
+    #: Stripes or batches that each folder was written with.
     folders: dict[str, int] = field(default_factory=dict)
+    #: Rows of a batch in the files of each folder whose files hold several.
+    steps: dict[str, int] = field(default_factory=dict)
     next_row_number: int = 1
     next_stripe: int = 1
     version: int = 0
@@ -99,7 +103,7 @@ class Store:
     def publish(self, m: Manifest) -> Manifest:
         m.version += 1
         used = {s.file.rpartition("/")[0] for s in m.stripes}
-        m.folders = {f: n for f, n in m.folders.items() if f in used}
+        m.folders, m.steps = ({f: n for f, n in x.items() if f in used} for x in (m.folders, m.steps))
         path = f"{self.root}/manifest/{m.version:010d}.json"
         self.fs.create_dir(f"{self.root}/manifest", recursive=True)
         if self.fs.get_file_info(path).type != fs.FileType.NotFound:

@@ -83,7 +83,8 @@ class ColOptions(_Options):
         self._codec()
         parse_orderby(self.orderby)
 
-    def write_options(self) -> dict[str, str]:
+    def write_options(self, file_rows: int) -> dict[str, str]:
+        """A stripe is a file."""
         return self.writer(self.stripe_row_limit, self.chunk_group_row_limit)
 
 
@@ -99,5 +100,6 @@ class RowOptions(_Options):
         _within("batch_size", self.batch_size, 100, 100_000_000)
         self._codec()
 
-    def write_options(self) -> dict[str, str]:
-        return self.writer(self.batch_size, self.batch_size)
+    def write_options(self, file_rows: int) -> dict[str, str]:
+        """A file holds whole batches of about ``file_rows`` rows, or one."""
+        return self.writer(self.batch_size * max(1, file_rows // self.batch_size), self.batch_size)

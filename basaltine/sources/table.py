@@ -1,8 +1,8 @@
 """Columnar and row-batch tables: Parquet files with ranges, row masks and maintenance.
 
-A stripe (or batch) is one Parquet file. The manifest lists files with their row counts, row
-numbers and ranges; readers prune files by it, then filter. Deletes append bitmaps of row indexes to a
-row mask; updates delete and insert. Every change writes new files and then publishes one manifest,
+A stripe is one Parquet file; batches of the row layout share files, each with the same number of rows but the
+last of a file. The manifest lists stripes and batches with their row counts, row numbers and ranges; readers prune
+by it, then filter. Deletes append bitmaps of row indexes to a row mask; updates delete and insert. Every change writes new files and then publishes one manifest,
 so readers see a whole state and a failed writer leaves none.
 """
 
@@ -12,6 +12,7 @@ import datetime as dt
 import json
 import re
 import uuid
+from collections import Counter
 from dataclasses import asdict, replace
 from typing import Any
 
@@ -42,6 +43,10 @@ _EXCLUDED = re.compile(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|\bexcluded\.", r
 #: Rows for one task of a merge or vacuum, which cuts them into files itself: a task for each file is too many.
 _TASK_ROWS = 250_000
 
+#: Rows of a file that batches share, as far as a batch isn't larger. Ranges are found by a sort of the rows that a
+#: task reads, of about thirty such files, so more rows here are more memory there, and fewer are more files.
+_FILE_ROWS = 25_000
+
 #: Rounds of a bulk update, so that jobs and manifests don't grow with the table; a failure costs one of them.
 _ROUNDS = 8
 
@@ -57,8 +62,19 @@ def _instant(x: Any, field: T.StructField) -> Any:
     return x.astimezone(dt.timezone.utc) if isinstance(field.dataType, T.TimestampType) else x
 
 
+def _folder(s: Stripe) -> str:
+    return s.file.rpartition("/")[0]
+
+
 def _name(s: Stripe) -> str:
-    return s.file.rpartition("/")[2]
+    """The file's name, and a batch's place in it."""
+    return s.file.rpartition("/")[2] + ("" if s.batch is None else f"#{s.batch}")
+
+
+def _place(step: int) -> tuple[Column, Column]:
+    """Of a row its stripe's or batch's name, and its index there, in files with a batch for each ``step`` rows, or none."""
+    file, index = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+    return (F.concat(file, F.lit("#"), F.floor(index / step).cast("string")), index % step) if step else (file, index)
 
 
 def _bits(rows: DataFrame) -> DataFrame:
@@ -159,7 +175,7 @@ class Table:
         return name
 
     def _files(self, m: Manifest, stripes: list[Stripe], schema: T.StructType, mask: bool = True) -> DataFrame:
-        """Live rows of stripes in today's schema, with file name and row index."""
+        """Live rows of stripes in today's schema, with the stripe's name and the row index in it."""
         parts = []
         for version in sorted({s.schema_version for s in stripes}):
             own = T.StructType.fromJson(json.loads(m.schemas[version]))
@@ -171,8 +187,9 @@ class Table:
                     columns.append(F.lit(default).cast(f.dataType).alias(f.name))
                 else:
                     columns.append(F.col(f"`{old}`").cast(f.dataType).alias(f.name))
-            for df in self._scans(m, [s for s in stripes if s.schema_version == version], own):
-                parts.append(df.select(*columns, F.col("_metadata.file_name").alias(_FILE), F.col("_metadata.row_index").alias(_INDEX)))
+            for df, step in self._scans(m, [s for s in stripes if s.schema_version == version], own):
+                name, index = _place(step)
+                parts.append(df.select(*columns, name.alias(_FILE), index.alias(_INDEX)))
         if not parts:
             return self.spark.createDataFrame([], T.StructType([*schema.fields, T.StructField(_FILE, T.StringType()), T.StructField(_INDEX, T.LongType())]))
         df = parts[0]
@@ -180,22 +197,35 @@ class Table:
             df = df.unionByName(p)
         return self._unmasked(m, df) if mask and m.masks and any(s.deleted for s in stripes) else df
 
-    def _scans(self, m: Manifest, stripes: list[Stripe], own: T.StructType) -> list[DataFrame]:
-        """Files of one schema version: a few by their paths, many by their folders."""
-        read = self.spark.read.schema(own).parquet
-        if len(stripes) <= _BY_PATH:
-            return [read(*(f"{self.path}/{s.file}" for s in stripes))]
-        by: dict[str, list[str]] = {}
-        for s in stripes:
-            by.setdefault(s.file.rpartition("/")[0], []).append(_name(s))
-        whole = [f for f, names in by.items() if m.folders.get(f) == len(names)]
-        partly = sorted(by.keys() - set(whole))
-        out = [read(*(f"{self.path}/{f}" for f in whole))] if whole else []
-        if partly:  # a filter on file names, by which Spark leaves out the others before it reads
-            names = ", ".join(f"'{n}'" for f in partly for n in by[f])
-            out.append(read(*(f"{self.path}/{f}" for f in partly)).where(f"_metadata.file_name IN ({names})"))
+    def _scans(self, m: Manifest, stripes: list[Stripe], own: T.StructType) -> list[tuple[DataFrame, int]]:
+        """Files of one schema version, a few by their paths, many by their folders; and the rows of a batch in them."""
+        read, out = self.spark.read.schema(own).parquet, []
+        for step in sorted({m.steps.get(_folder(s), 0) for s in stripes}):
+            by: dict[str, list[Stripe]] = {}
+            for s in stripes:
+                if m.steps.get(_folder(s), 0) == step:
+                    by.setdefault(_folder(s), []).append(s)
+            whole = [f for f, some in by.items() if m.folders.get(f) == len(some)]
+            partly = sorted(by.keys() - set(whole))
+            if len(stripes) <= _BY_PATH:
+                some = [s for f in by for s in by[f]]
+                df = read(*dict.fromkeys(f"{self.path}/{s.file}" for s in some))
+                out.append((self._batches(df, some, step) if partly and step else df, step))
+                continue
+            if whole:
+                out.append((read(*(f"{self.path}/{f}" for f in whole)), step))
+            if partly:  # a filter on file names, by which Spark leaves out the others before it reads
+                some = [s for f in partly for s in by[f]]
+                names = ", ".join(dict.fromkeys(f"'{s.file.rpartition('/')[2]}'" for s in some))
+                df = read(*(f"{self.path}/{f}" for f in partly)).where(f"_metadata.file_name IN ({names})")
+                out.append((self._batches(df, some, step) if step else df, step))
         return out
 
+    def _batches(self, df: DataFrame, some: list[Stripe], step: int) -> DataFrame:
+        """Rows of some batches, of files that have more."""
+        names = ", ".join(f"'{_name(s)}'" for s in some)
+        return df.where(f"concat(_metadata.file_name, '#', floor(_metadata.row_index / {step})) IN ({names})")
+
     def _unmasked(self, m: Manifest, df: DataFrame) -> DataFrame:
         """Rows that the row mask leaves."""
         rows = [p for p in m.masks if p.startswith("masks/")]  # of earlier releases: (file, row index)
@@ -237,7 +267,7 @@ class Table:
         return df.select(*columns) if columns else df.drop(_FILE, _INDEX)
 
     def positions(self, where: Where = None) -> DataFrame:
-        """Rows with the file and row index they lie at, the only system columns there are."""
+        """Rows with the file (and the batch in it, after a #) and row index they lie at, the only system columns there are."""
         m, where = self.manifest, predicate(where)
         df = self._matched(m, where)
         return df.withColumnsRenamed({_FILE: "row_file", _INDEX: "row_index"})
@@ -289,11 +319,14 @@ class Table:
         folder = f"data/{uuid.uuid4().hex}"
         schema = T.StructType.fromJson(json.loads(m.schemas[-1]))
         df = df.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema))
-        (df if ordered else self._sorted(df, m)).write.options(**self.options(m).write_options()).parquet(f"{self.path}/{folder}")
+        options = self.options(m)
+        (df if ordered else self._sorted(df, m)).write.options(**options.write_options(_FILE_ROWS)).parquet(f"{self.path}/{folder}")
+        if isinstance(options, RowOptions):
+            m.steps[folder] = options.batch_size
         return self._measured(folder, schema, m)
 
     def _measured(self, folder: str, schema: T.StructType, m: Manifest) -> list[Stripe]:
-        made = self.spark.read.schema(schema).parquet(f"{self.path}/{folder}")
+        made, step = self.spark.read.schema(schema).parquet(f"{self.path}/{folder}"), m.steps.get(folder)
         ranged = [f for f in schema if not isinstance(f.dataType, _NO_RANGE)]
         aggs = [F.count(F.lit(1)).alias("n")]
         for i, f in enumerate(schema):
@@ -303,13 +336,19 @@ class Table:
             aggs += [F.min(c).alias(f"a{i}"), F.max(c).alias(f"b{i}")]
             if isinstance(f.dataType, T.FloatType | T.DoubleType):
                 aggs.append(F.max(F.isnan(c)).alias(f"nan{i}"))
-        found = made.groupBy(F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_size").alias("size")).agg(*aggs).collect()  # a row for each file
-        out = []
+        batch = F.floor(F.col("_metadata.row_index") / step) if step else F.lit(0)
+        found = made.groupBy(F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_size").alias("size"), batch.cast("long").alias("batch")).agg(*aggs).collect()  # a row for each stripe or batch
+        out, total, before = [], Counter(), Counter()
         m.folders[folder] = len(found)
-        for r in sorted((x.asDict() for x in found), key=lambda x: [int(n) for n in _PART.match(x["f"]).groups()]):
+        for r in found:
+            total[r.f] += r.n
+        for r in sorted((x.asDict() for x in found), key=lambda x: [*(int(n) for n in _PART.match(x["f"]).groups()), x["batch"]]):
             ranges = {f.name: [_instant(r[f"a{i}"], f), _instant(r[f"b{i}"], f)] for i, f in enumerate(ranged) if r[f"a{i}"] is not None and not r.get(f"nan{i}")}
             nulls = {f.name: r[f"u{i}"] for i, f in enumerate(schema)}
-            out.append(Stripe(m.next_stripe, f"{folder}/{r['f']}", r["n"], m.next_row_number, r["size"], len(m.schemas) - 1, ranges, nulls))
+            # Of a shared file's bytes each batch has its rows' share.
+            bytes_to = [r["size"] * n // total[r["f"]] for n in (before[r["f"]], before[r["f"]] + r["n"])]
+            before[r["f"]] += r["n"]
+            out.append(Stripe(m.next_stripe, f"{folder}/{r['f']}", r["n"], m.next_row_number, bytes_to[1] - bytes_to[0], len(m.schemas) - 1, ranges, nulls, batch=r["batch"] if step else None))
             m.next_stripe += 1
             m.next_row_number += r["n"]
         return out
@@ -543,7 +582,7 @@ class ColTable(Table):
         """Rewrite only the stripes that hold a match, whole; other rows of theirs are kept as they are."""
         m, pred = self.manifest, predicate(where)
         hits = {r[0] for r in self._matched(m, pred).select(_FILE).distinct().collect()}  # file names
-        touched = [s for s in m.stripes if s.file.rpartition("/")[2] in hits]
+        touched = [s for s in m.stripes if _name(s) in hits]
         if not touched:
             return 0
         when = None if pred is None else F.coalesce(pred.column(), F.lit(False))

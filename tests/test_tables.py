@@ -365,3 +365,33 @@ def test_rewrites_read_a_small_mask(spark, tmp_path, change):
     assert sorted(s.deleted for s in m.stripes)[-4:] == [20] * 4 and m.masks
     want = [k for k in range(6000) if (k % 2 if k < 2000 else k % 50)]
     assert t.count() == len(want) and sorted(r.k for r in t.read().collect()) == want
+
+
+def test_row_batches_share_files(spark, tmp_path, monkeypatch):
+    """Files don't grow in number with batches; ranges, deleted rows and pruning are still of each batch."""
+    import os
+
+    from basaltine.sources import table
+
+    monkeypatch.setattr(table, "_FILE_ROWS", 4300, raising=False)
+    t = make(spark, tmp_path, 10_500, RowTable, pruning_column="k")
+    stripes = t.manifest.stripes
+    files = {s.file for s in stripes}
+    assert len(stripes) == 11 and len(files) == 3 and [s.ranges["k"] for s in stripes[-2:]] == [[9000, 9999], [10_000, 10_499]]
+    assert sum(s.data_length for s in stripes) == sum(os.path.getsize(f"{tmp_path}/t/{f}") for f in files)
+    assert t.delete("k < 1500 or k = 4001") == 1501 and [s.deleted for s in t.manifest.stripes] == [1000, 500, 0, 0, 1] + [0] * 6
+    assert t.prune_report(Field("k") > 8500)["stripes_removed"] == 8
+    want = [k for k in range(1500, 10_500) if k != 4001]
+    m = t.manifest
+    for few in (32, 0):  # by their paths, by their folders
+        monkeypatch.setattr(table, "_BY_PATH", few)
+        assert sorted(r.k for r in t.read().collect()) == want
+        assert t.read(Field("k").between(1400, 4002)).count() == 2502
+        some = t._files(m, m.stripes[1:2] + m.stripes[10:], SCHEMA)  # not the other batches of their files
+        assert sorted(r.k for r in some.collect()) == [*range(1500, 2000), *range(10_000, 10_500)]
+    assert t.positions(Field("k") == 4002).select("k", "row_index").collect() == [(4002, 2)]
+    assert t.update({"v": "-1"}, "k in (1500, 9999)") == 2 and t.read("v = -1").count() == 2
+    t.set_options(batch_size=400)
+    t.repack()
+    assert {s.row_count for s in t.manifest.stripes[:-1]} <= {400, *range(1, 400)} and t.count() == len(want)
+    assert sorted(r.k for r in t.read().collect()) == want and t.clean() > 0 and t.read().count() == len(want)
