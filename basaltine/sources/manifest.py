@@ -6,7 +6,7 @@ import datetime as dt
 import json
 import os
 import uuid
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field, fields
 from decimal import Decimal
 from typing import Any
 
@@ -110,7 +110,11 @@ class Store:
             raise RuntimeError(f"another writer published version {m.version}")
         tmp = f"{self.root}/manifest/.{uuid.uuid4().hex}"
         with self.fs.open_output_stream(tmp) as f:
-            f.write(json.dumps(asdict(m), default=_plain).encode())
+            head = {x.name: getattr(m, x.name) for x in fields(m) if x.name != "stripes"}
+            f.write((json.dumps(head, default=_plain)[:-1] + ', "stripes": [').encode())
+            for i in range(0, len(m.stripes), 1000):  # no copy of them all
+                f.write((", " * (i > 0) + json.dumps([vars(s) for s in m.stripes[i : i + 1000]], default=_plain)[1:-1]).encode())
+            f.write(b"]}")
         if not isinstance(self.fs, fs.LocalFileSystem):
             self.fs.move(tmp, path)
             return m

@@ -395,3 +395,18 @@ def test_row_batches_share_files(spark, tmp_path, monkeypatch):
     t.repack()
     assert {s.row_count for s in t.manifest.stripes[:-1]} <= {400, *range(1, 400)} and t.count() == len(want)
     assert sorted(r.k for r in t.read().collect()) == want and t.clean() > 0 and t.read().count() == len(want)
+
+
+def test_repacked_batches_share_a_file_and_a_long_manifest_is_read_back(spark, tmp_path):
+    t = make(spark, tmp_path, 20_000, RowTable)
+    t.delete("k <= 300")
+    t.set_options(batch_size=100)
+    assert t.repack() == 197 and len({s.file for s in t.manifest.stripes}) == 1
+    assert [s.row_count for s in t.manifest.stripes] == [100] * 196 + [99] and t.manifest.stripes[1].ranges["k"] == [401, 500]
+    assert t.read().agg(F.count("k"), F.sum("k")).first() == (19_699, sum(range(301, 20_000)))
+    m = t.manifest
+    one = m.stripes[0]
+    for n in (0, 1, 1000, 2500):
+        m.stripes = [one] * n
+        t.store.publish(m)
+        assert t.manifest == m
