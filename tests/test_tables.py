@@ -410,3 +410,16 @@ def test_repacked_batches_share_a_file_and_a_long_manifest_is_read_back(spark, t
         m.stripes = [one] * n
         t.store.publish(m)
         assert t.manifest == m
+
+
+def test_sorted_merge_reads_a_small_mask(spark, tmp_path):
+    """What a merge's tasks are sent is an entry for each file with deleted rows, also of a table with a sort key."""
+    t = make(spark, tmp_path, 6000, orderby="s DESC, k")
+    t.delete("k % 3 = 0")
+    files = len({s.file for s in t.manifest.stripes if s.deleted})
+    assert spark.read.parquet(*(f"{t.path}/{p}" for p in t.manifest.masks)).count() == files
+    assert t.merge() == 4000 and not t.manifest.masks
+    want = sorted((k for k in range(6000) if k % 3), key=lambda k: f"s{k}", reverse=True)
+    assert [r.k for r in t.read().orderBy(F.col("s").desc()).collect()] == want
+    spans = [s.ranges["s"] for s in t.manifest.stripes]
+    assert all(a[0] >= b[1] for a, b in zip(spans, spans[1:], strict=False))
