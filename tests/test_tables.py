@@ -423,3 +423,34 @@ def test_sorted_merge_reads_a_small_mask(spark, tmp_path):
     assert [r.k for r in t.read().orderBy(F.col("s").desc()).collect()] == want
     spans = [s.ranges["s"] for s in t.manifest.stripes]
     assert all(a[0] >= b[1] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_batches_of_several_sizes_and_of_earlier_releases(spark, tmp_path, monkeypatch):
+    from basaltine.sources import table
+
+    monkeypatch.setattr(table, "_FILE_ROWS", 2500)
+    t = make(spark, tmp_path, 5000, RowTable, pruning_column="k")
+    t.set_options(batch_size=700)
+    t.insert(t.read().withColumn("k", F.col("k") + 5000).coalesce(1))
+    m = t.manifest
+    assert sorted(m.steps.values()) == [700, 1000]
+    for few in (32, 0):
+        monkeypatch.setattr(table, "_BY_PATH", few)
+        assert t.read().count() == 10_000 and t.read().agg(F.sum("k")).first()[0] == sum(range(10_000))
+        assert t.read(Field("k").between(4990, 5710)).count() == 721
+    assert t.delete("k between 4500 and 5800") == 1301
+    assert [s.deleted for s in t.manifest.stripes] == [0] * 4 + [500, 700, 101] + [0] * 6
+    assert t.delete("k between 4400 and 5900") == 200 and t.read().count() == t.count() == 8499
+    # file per batch, as an earlier release wrote it
+    m = t.manifest
+    folder = "data/old"
+    spark.range(20_000, 20_300).select(F.col("id").alias("k"), F.lit(1.0).alias("v"), F.lit("x").alias("s")).coalesce(1).write.option("maxRecordsPerFile", 100).parquet(f"{t.path}/{folder}")
+    m.stripes += t._measured(folder, SCHEMA, m)
+    t.store.publish(m)
+    assert t.delete("k >= 20050 and k < 20150") == 100 and [s.deleted for s in t.manifest.stripes[-3:]] == [50, 50, 0]
+    assert t.read().count() == t.count() == 8699
+    t.repack()
+    assert t.read().count() == t.count() == 8699
+    t.truncate()
+    assert t.read().count() == 0 and not t.manifest.steps
+    assert t.insert(t.read()) == 0 and t.repack() == 0
