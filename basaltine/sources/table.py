@@ -216,11 +216,24 @@ class Table:
                 out.append((read(*(f"{self.path}/{f}" for f in whole)), step))
             if partly:  # a filter on file names, by which Spark leaves out the others before it reads
                 some = [s for f in partly for s in by[f]]
-                names = ", ".join(dict.fromkeys(f"'{s.file.rpartition('/')[2]}'" for s in some))
-                df = read(*(f"{self.path}/{f}" for f in partly)).where(f"_metadata.file_name IN ({names})")
+                names, how = list(dict.fromkeys(s.file.rpartition("/")[2] for s in some)), "IN"
+                if len(some) * 2 > sum(m.folders.get(f, 0) for f in partly):  # most of them: the others are fewer to name
+                    gone = self._others(partly, names)
+                    names, how = (gone, "NOT IN") if len(gone) < len(names) else (names, how)
+                df = read(*(f"{self.path}/{f}" for f in partly))
+                if names:
+                    df = df.where(f"_metadata.file_name {how} ({', '.join(repr(n) for n in names)})")
                 out.append((self._batches(df, some, step) if step else df, step))
         return out
 
+    def _others(self, folders: list[str], names: list[str]) -> list[str]:
+        """Names of the data files that lie in folders beside these."""
+        from pyarrow import fs
+
+        kept = set(names)
+        found = (self.store.fs.get_file_info(fs.FileSelector(f"{self.store.root}/{f}")) for f in folders)
+        return [i.base_name for infos in found for i in infos if i.base_name.endswith(".parquet") and i.base_name not in kept]
+
     def _batches(self, df: DataFrame, some: list[Stripe], step: int) -> DataFrame:
         """Rows of some batches, of files that have more."""
         names = ", ".join(f"'{_name(s)}'" for s in some)

@@ -454,3 +454,26 @@ def test_batches_of_several_sizes_and_of_earlier_releases(spark, tmp_path, monke
     t.truncate()
     assert t.read().count() == 0 and not t.manifest.steps
     assert t.insert(t.read()) == 0 and t.repack() == 0
+
+
+def test_a_folder_that_lost_few_files_is_read_without_naming_the_others(spark, tmp_path, monkeypatch):
+    """What the driver plans with doesn't grow with the files that a vacuum left."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from basaltine.sources import table
+
+    t = make(spark, tmp_path, 50_000)
+    t.delete("k % 4 = 0")
+    assert t.vacuum(2) == 2 and len(t.manifest.stripes) == 50
+    given, where = [], DataFrame.where
+    monkeypatch.setattr(DataFrame, "where", lambda self, c: (given.append(c), where(self, c))[1])
+    named = lambda: [c.count(".parquet") for c in given if isinstance(c, str)]
+    want = [k for k in range(50_000) if k % 4]
+    assert sorted(r.k for r in t.read().collect()) == want and named() == [2]
+    m = t.manifest
+    assert t.clean() == 2
+    given.clear()
+    assert sorted(r.k for r in t.read().collect()) == want and named() == []
+    given.clear()
+    monkeypatch.setattr(table, "_BY_PATH", 3)
+    assert t._files(m, m.stripes[:4], SCHEMA).count() == 3000 and named() == [4]  # of few, these
