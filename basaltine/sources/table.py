@@ -43,6 +43,10 @@ _EXCLUDED = re.compile(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|\bexcluded\.", r
 #: Rows for one task of a merge or vacuum, which cuts them into files itself: a task for each file is too many.
 _TASK_ROWS = 250_000
 
+#: Rows, and bytes of Parquet, that one task of an insert sorts: what it is given may be a file's only row group.
+#: Fewer rows are less memory and more stripes that aren't full, one for each task.
+_SORT_ROWS, _SORT_BYTES = 1_000_000, 64 << 20
+
 #: Rows of a file that batches share, as far as a batch isn't larger. Ranges are found by a sort of the rows that a
 #: task reads, of about thirty such files, so more rows here are more memory there, and fewer are more files.
 _FILE_ROWS = 25_000
@@ -327,13 +331,35 @@ class Table:
         keys = parse_orderby(m.options.get("orderby") or "")
         return df.sortWithinPartitions(*(k.order() for k in keys)) if keys else df
 
+    def _by_range(self, df: DataFrame, m: Manifest, many: int, place: list[Column]) -> DataFrame:
+        """Rows in ``many`` tasks by ranges of the sort key, in its order. Rows of one key are dealt by their place, a hash of it."""
+        keys = [k.order() for k in parse_orderby(m.options["orderby"])]
+        return self._sorted(df.withColumn("__place", F.xxhash64(*place)).drop(_FILE, _INDEX).repartitionByRange(many, *keys, "__place").drop("__place"), m)
+
+    def _bounded(self, once: str, schema: T.StructType, m: Manifest) -> DataFrame:
+        """Rows of files, sorted in tasks whose memory doesn't grow with them."""
+        df, file = self.spark.read.schema(schema).parquet(once), F.col("_metadata.file_name")
+        of_file = df.groupBy(file.alias("f")).agg(F.count(F.lit(1)).alias("n"), F.max("_metadata.file_size").alias("size"))
+        n, size = of_file.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+        many = max(1, -(-n // _SORT_ROWS), -(-size // _SORT_BYTES))
+        return self._by_range(df, m, many, [file, F.col("_metadata.row_index")]) if many > 1 else self._sorted(df, m)
+
     def _written(self, df: DataFrame, m: Manifest, ordered: bool = False) -> list[Stripe]:
-        """New files of rows, with their ranges; not yet in the manifest."""
+        """New files of rows, with their ranges; not yet in the manifest.
+
+        With a sort key, rows that don't come ordered are first written as they are: only then is it known how many tasks sort them.
+        """
         folder = f"data/{uuid.uuid4().hex}"
         schema = T.StructType.fromJson(json.loads(m.schemas[-1]))
         df = df.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema))
-        options = self.options(m)
-        (df if ordered else self._sorted(df, m)).write.options(**options.write_options(_FILE_ROWS)).parquet(f"{self.path}/{folder}")
+        options, once = self.options(m), None
+        if not ordered and parse_orderby(m.options.get("orderby") or ""):
+            once = f"unsorted/{uuid.uuid4().hex}"
+            df.write.parquet(f"{self.path}/{once}")
+            df = self._bounded(f"{self.path}/{once}", schema, m)
+        df.write.options(**options.write_options(_FILE_ROWS)).parquet(f"{self.path}/{folder}")
+        if once:
+            self.store.remove_data([once])
         if isinstance(options, RowOptions):
             m.steps[folder] = options.batch_size
         return self._measured(folder, schema, m)
@@ -582,11 +608,10 @@ class ColTable(Table):
     def merge(self) -> int:
         """Rewrite all live rows, globally ordered by the sort key if there is one."""
         m = self.manifest
-        df, keys = self._live(m, m.stripes), [k.order() for k in parse_orderby(m.options["orderby"])]
-        if keys:
-            many = self._tasks(m, m.stripes)
-            df = df.repartitionByRange(many, *keys).sortWithinPartitions(*keys)
-        m.stripes = self._written(df, m, ordered=True)
+        df = self._files(m, m.stripes, T.StructType.fromJson(json.loads(m.schemas[-1])))
+        if parse_orderby(m.options["orderby"]):
+            df = self._by_range(df, m, self._tasks(m, m.stripes), [F.col(_FILE), F.col(_INDEX)])
+        m.stripes = self._written(df.drop(_FILE, _INDEX), m, ordered=True)
         m.unmask()
         self.store.publish(m)
         return sum(s.row_count for s in m.stripes)
@@ -657,7 +682,8 @@ class ColTable(Table):
         live = self._live(m, small)
         many = self._tasks(m, small)
         # Tasks of many stripes fill all but their last; for few, rows are dealt evenly.
-        new = self._written(live.repartition(many) if many > 1 and limit * 8 > _TASK_ROWS else live.coalesce(many), m)
+        dealt = live.repartition(many) if many > 1 and limit * 8 > _TASK_ROWS else live.coalesce(many)
+        new = self._written(self._sorted(dealt, m), m, ordered=True)
         gone = {s.num for s in small}
         m.stripes = [s for s in m.stripes if s.num not in gone] + new
         if not any(s.deleted for s in m.stripes):

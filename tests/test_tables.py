@@ -477,3 +477,32 @@ def test_a_folder_that_lost_few_files_is_read_without_naming_the_others(spark, t
     given.clear()
     monkeypatch.setattr(table, "_BY_PATH", 3)
     assert t._files(m, m.stripes[:4], SCHEMA).count() == 3000 and named() == [4]  # of few, these
+
+
+def test_sorted_insert_is_dealt_to_tasks_of_bounded_rows(spark, tmp_path, monkeypatch):
+    """What one task sorts doesn't grow with what it is given, here all rows, nor with the rows of one key."""
+    import os
+
+    from basaltine.sources import table
+
+    monkeypatch.setattr(table, "_SORT_ROWS", 2000, raising=False)
+    t = make(spark, tmp_path, 10_000, orderby="s DESC, k")
+
+    def check(n):
+        stripes, tasks = t.manifest.stripes, {}
+        for s in stripes:
+            task = s.file.rpartition("-c")[0]
+            tasks[task] = tasks.get(task, 0) + s.row_count
+        assert sum(tasks.values()) == n and len(tasks) == n // 2000 and max(tasks.values()) < 4000
+        return stripes
+
+    stripes = check(10_000)
+    spans = [s.ranges["s"] for s in stripes if "s" in s.ranges]  # nulls first, a third of the rows
+    assert all(a[0] >= b[1] for a, b in zip(spans, spans[1:], strict=False)) and stripes[0].nulls["s"] == 1000
+    assert sorted(r.k for r in t.read().collect()) == list(range(10_000)) and not os.listdir(f"{tmp_path}/t/unsorted")
+    assert t.update({"s": "'one'"}) == 10_000 and t.read("s = 'one'").count() == 10_000
+    monkeypatch.setattr(table, "_TASK_ROWS", 2000)
+    t.set_options(orderby="s")
+    assert t.merge() == 10_000
+    check(10_000)
+    assert sorted(r.k for r in t.read("s = 'one'").collect()) == list(range(10_000))
